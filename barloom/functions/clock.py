@@ -53,17 +53,24 @@ def week_close(ts: str = "ts", zone: str = NY, hour: int = 17) -> Column:
 
 
 def fx_open(ts: str = "ts") -> Column:
-    """Spot FX trades from Sunday 17:00 to Friday 17:00 New York."""
+    """Spot FX trades from after Sunday 17:00 until Friday 17:00 New York."""
     t = local(ts)
     d, m = F.weekday(t), minute_of_day(t)
-    return ~((d == 5) | ((d == 6) & (m < 17 * 60)) | ((d == 4) & (m >= 17 * 60)))
+    return ~((d == 5) | ((d == 6) & (m <= 17 * 60)) | ((d == 4) & (m >= 17 * 60)))
+
+
+# Dated exchange closures as (New York date, first minute, end minute).
+SPECIAL_CLOSURES = [("2026-09-07", 780, 1080)]
 
 
 def futures_open(ts: str = "ts") -> Column:
     """Index futures trade Sunday 18:00 to Friday 17:00 New York with a daily 17:00-18:00 halt."""
     t = local(ts)
     d, m = F.weekday(t), minute_of_day(t)
-    return (F.when(d == 5, False).when(d == 6, m >= 18 * 60).when(d == 4, m < 17 * 60)
+    shut = F.lit(False)
+    for day, a, b in SPECIAL_CLOSURES:
+        shut = shut | ((F.to_date(t) == F.lit(day).cast("date")) & (m >= a) & (m < b))
+    return (F.when(shut | (d == 5), False).when(d == 6, m >= 18 * 60).when(d == 4, m < 17 * 60)
             .otherwise((m < 17 * 60) | (m >= 18 * 60)))
 
 

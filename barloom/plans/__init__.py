@@ -1,4 +1,4 @@
 """Query plans by area; importing this package registers them."""
 
-from barloom.plans import families  # noqa: F401
+from barloom.plans import base, families  # noqa: F401
 from barloom.plans.registry import QUERIES  # noqa: F401

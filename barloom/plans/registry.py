@@ -165,8 +165,8 @@ shared("fine", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) -
 shared("cbars_raw", """SELECT symbol, 'C' || (user_id % 3) AS contract_id, date_trunc('hour', ts) AS ts, arg_min(price, (ts, seq)) AS open,
  max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM ticks GROUP BY 1, 2, 3""")
 shared("cbars", "SELECT *, row_number() OVER (PARTITION BY symbol, contract_id ORDER BY ts) - 1 AS bar_idx FROM cbars_raw")
-shared("daily_raw", """SELECT l_returnflag || l_linestatus AS symbol, date_trunc('day', l_shipdate) AS ts,
- arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS open, max(l_extendedprice / l_quantity) AS high,
- min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS close,
- sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2""")
+shared("li_ticks", """SELECT l_returnflag || l_linestatus AS symbol, l_shipdate AS ts, floor(l_extendedprice / l_quantity * 100) / 100 AS price,
+ l_orderkey, l_linenumber, l_quantity FROM lineitem""")
+shared("daily_raw", """SELECT symbol, date_trunc('day', ts) AS ts, arg_min(price, (l_orderkey, l_linenumber)) AS open, max(price) AS high,
+ min(price) AS low, arg_max(price, (l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume FROM li_ticks GROUP BY 1, 2""")
 shared("daily", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_idx FROM daily_raw")

@@ -64,9 +64,9 @@ class Market:
                           ("symbol", "contract_id"), 4096 * seconds)
 
     def daily(self) -> DataFrame:
-        """Daily bars from line items: price per unit, ordered by order key and line number."""
+        """Daily bars from line items: price per unit in whole cents, ordered by order key and line number."""
         li = self.table("lineitem").select(
             F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_orderkey", "l_linenumber", "l_quantity")
+            (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price"), "l_orderkey", "l_linenumber", "l_quantity")
         return self._bars("daily", lambda: roll(li, F.date_trunc("day", "ts"), order=("l_orderkey", "l_linenumber"), volume="l_quantity"),
                           span=4096 * 86400)
