@@ -70,3 +70,7 @@ class Market:
             (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price"), "l_orderkey", "l_linenumber", "l_quantity")
         return self._bars("daily", lambda: roll(li, F.date_trunc("day", "ts"), order=("l_orderkey", "l_linenumber"), volume="l_quantity"),
                           span=4096 * 86400)
+
+    def stage(self, name: str, build) -> DataFrame:
+        """A named intermediate table, written once to shared storage so later stages scan it instead of repeating its plan."""
+        return stored(self.spark, f"{self.root}|stage|{name}", build)
