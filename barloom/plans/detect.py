@@ -109,10 +109,10 @@ def ref_sql(src, s="PARTITION BY symbol, session_date ORDER BY bar_idx"):
  last_value(CASE WHEN mloc = 0 THEN open END IGNORE NULLS) OVER ({day} {run}) AS midnight_open, last_value(CASE WHEN mloc = 510 THEN open END IGNORE NULLS) OVER ({day} {run}) AS open_0830,
  {s_flag('is_rth AND mloc < 600')} AS open_drive_flag, {s_flag('mloc >= 720 AND mloc < 810')} AS lunch_lull_flag, {s_flag('is_rth AND mloc >= 900')} AS close_ramp_flag
  FROM ({session_eq_sql(src)})) d
- JOIN (SELECT symbol, session_date, _oh, _ol, _ih, _il, last_value(_rh IGNORE NULLS) OVER (x) AS prior_rth_high, last_value(_rl IGNORE NULLS) OVER (x) AS prior_rth_low,
- last_value(_rc IGNORE NULLS) OVER (x) AS prior_rth_close FROM ({ref_sess(src)}) WINDOW x AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p
+ JOIN (SELECT symbol, session_date, _oh, _ol, _ih, _il, last_value(_rh IGNORE NULLS) OVER x AS prior_rth_high, last_value(_rl IGNORE NULLS) OVER x AS prior_rth_low,
+ last_value(_rc IGNORE NULLS) OVER x AS prior_rth_close FROM ({ref_sess(src)}) WINDOW x AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p
  ON p.symbol = d.symbol AND p.session_date = d.session_date
- JOIN (SELECT symbol, week_key, last_value(wh IGNORE NULLS) OVER (x) AS prior_week_high, last_value(wl IGNORE NULLS) OVER (x) AS prior_week_low FROM (
+ JOIN (SELECT symbol, week_key, last_value(wh IGNORE NULLS) OVER x AS prior_week_high, last_value(wl IGNORE NULLS) OVER x AS prior_week_low FROM (
  SELECT symbol, week_key, max(_rh) AS wh, min(_rl) AS wl FROM ({ref_sess(src)}) GROUP BY 1, 2) WINDOW x AS (PARTITION BY symbol ORDER BY week_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) w
  ON w.symbol = d.symbol AND w.week_key = d.week_key"""
 
@@ -130,7 +130,7 @@ def ref_sess(src):
  FROM ({session_eq_sql(src)}) GROUP BY 1, 2, 3"""
 
 
-REF_OUT = (" ".join(pt.REFERENCE) + " rth_gap_open ib_high_developing ib_low_developing phase_code:l is_rth:l is_overnight:l is_ib:l ib_complete:l open_drive_flag:l lunch_lull_flag:l close_ramp_flag:l")
+REF_OUT = (" ".join(x + (":d7" if x.endswith("vwap") else "") for x in pt.REFERENCE) + " rth_gap_open ib_high_developing ib_low_developing phase_code:l is_rth:l is_overnight:l is_ib:l ib_complete:l open_drive_flag:l lunch_lull_flag:l close_ramp_flag:l")
 
 
 @query("dt02_reference_levels", KEY + REF_OUT, f"SELECT * FROM ({ref_sql('fine')})")

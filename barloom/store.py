@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_lock = threading.Lock()
+_lock = threading.RLock()  # a stage may build on other stored stages
 _written: dict[str, str] = {}
 
 
