@@ -372,3 +372,24 @@ def core(bars: DataFrame, extra=(), halo: int = HALO) -> DataFrame:
             d = f(d, w)
         return d
     return blocked(with_smooth(bars), build, before=halo, after=3, size=3 * halo)
+
+
+# name -> (family, families it needs first, bounded look-back rows)
+FAMILIES = {"price_action": (price_action, (), 10), "volatility": (volatility, (), 61), "volume": (volume, (), 51), "structure": (structure, ("volatility",), HALO),
+            "session": (session, (), 0), "microstructure": (microstructure, (), 1), "quality": (quality, ("volatility",), 61), "fractional_diff": (fractional_diff, (), 200),
+            "swings": (swings, (), 6)}
+
+
+def run_sets(bars: DataFrame, names: list[str]) -> DataFrame:
+    """Named feature sets with their prerequisites, in one block partitioning; existing columns are never replaced."""
+    order: list[str] = []
+    for n in names:
+        for x in (*FAMILIES[n][1], n):
+            if x not in order:
+                order.append(x)
+
+    def build(d, w):
+        for n in order:
+            d = FAMILIES[n][0](d, w)
+        return d
+    return blocked(bars, build, before=max(max(FAMILIES[n][2] for n in order), 1), after=3, size=3 * HALO)

@@ -130,7 +130,7 @@ def ref_sess(src):
  FROM ({session_eq_sql(src)}) GROUP BY 1, 2, 3"""
 
 
-REF_OUT = (" ".join(x + (":d7" if x.endswith("vwap") else "") for x in pt.REFERENCE) + " rth_gap_open ib_high_developing ib_low_developing phase_code:l is_rth:l is_overnight:l is_ib:l ib_complete:l open_drive_flag:l lunch_lull_flag:l close_ramp_flag:l")
+REF_OUT = (" ".join(x + (":d8" if x.endswith("vwap") else "") for x in pt.REFERENCE) + " rth_gap_open ib_high_developing ib_low_developing phase_code:l is_rth:l is_overnight:l is_ib:l ib_complete:l open_drive_flag:l lunch_lull_flag:l close_ramp_flag:l")
 
 
 @query("dt02_reference_levels", KEY + REF_OUT, f"SELECT * FROM ({ref_sql('fine')})")
