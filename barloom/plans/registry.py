@@ -48,7 +48,7 @@ class Query:
             elif t == "l":
                 x = f"CAST({n} AS BIGINT)"
             elif t == "t":
-                x = f"CAST(epoch({n}) AS BIGINT)"
+                x = f"CAST(floor(epoch({n})) AS BIGINT)"
             else:
                 x = f"round(CAST({n} AS DOUBLE), {int(t[1:] or 6)}) + 0.0"
             cols.append(f"{x} AS {n}")
