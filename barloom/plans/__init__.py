@@ -1,4 +1,4 @@
 """Query plans by area; importing this package registers them."""
 
-from barloom.plans import base, detect, families, futures, rules, storage, trade  # noqa: F401
+from barloom.plans import base, detect, families, futures, policy, rules, storage, trade  # noqa: F401
 from barloom.plans.registry import QUERIES  # noqa: F401
