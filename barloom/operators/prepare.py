@@ -64,3 +64,53 @@ def train_and_score(df: DataFrame, features: list[str], label: str, train: str,
     d = df.fillna(0.0, features)
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=7)]).fit(d.filter(train))
     return model.transform(d).withColumn("probability", vector_to_array("probability")[1])
+
+
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
+    return row.selectExpr(f"stack({len(pairs)}, {cells}) as (left_col, right_col, corr)")
+
+
+def mutual_information(df: DataFrame, bins: str, label: str, name: str) -> DataFrame:
+    """Plug-in estimate over a contingency table; the table, not the rows, meets the windows."""
+    t = df.groupBy(bins, label).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    px = t.groupBy(bins).agg(F.sum("n").alias("nx"))
+    py = t.groupBy(label).agg(F.sum("n").alias("ny"))
+    tot = t.agg(F.sum("n").alias("t"))
+    d = t.join(px, bins).join(py, label).join(F.broadcast(tot))
+    return d.agg(F.sum(c("n") / c("t") * F.log(c("n") * c("t") / (c("nx") * c("ny")))).alias("mi")).withColumn("feature", F.lit(name))
+
+
+def encode(df: DataFrame, column: str, fit, name: str) -> DataFrame:
+    """Alphabetical codes fitted on the given rows; unseen values become -1. The code table holds one row per distinct value."""
+    seen = df.filter(fit).select(column).distinct()
+    codes = seen.agg(F.array_sort(F.collect_set(column)).alias("_v")).select(F.posexplode("_v").alias(name, column))
+    return df.join(codes, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+
+
+def robust_scale(df: DataFrame, names: list[str], fit) -> DataFrame:
+    """(x - median) / interquartile range, both from the fitting rows only."""
+    stats = df.filter(fit).agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{n}") for n in names])
+    d = df.join(F.broadcast(stats))
+    iqr = lambda n: c(f"_q_{n}")[2] - c(f"_q_{n}")[0]
+    return d.withColumns({f"{n}_scaled": (c(n) - c(f"_q_{n}")[1]) / F.when(iqr(n) != 0, iqr(n)).otherwise(1.0) for n in names}).drop(*[f"_q_{n}" for n in names])
+
+
+def walk_forward(df: DataFrame, first: int, step: int, purge: int, folds: int, idx: str = "bar_idx") -> DataFrame:
+    """Expanding training span, purged gap, fixed validation span; a row appears once per fold it takes part in."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
+    d = df.select("*", k)
+    start = first + step * c("fold")
+    role = F.when(c(idx) < start - purge, "train").when((c(idx) >= start) & (c(idx) < start + step), "val")
+    return d.withColumn("role", role).filter("role is not null")
+
+
+def calibrate(scored: DataFrame, fit) -> DataFrame:
+    """Platt scaling fitted on out-of-fold rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    d = VectorAssembler(inputCols=["probability"], outputCol="_x").transform(scored.withColumnRenamed("target", "label"))
+    model = LogisticRegression(featuresCol="_x", labelCol="label", probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r").fit(d.filter(fit))
+    return model.transform(d).withColumn("calibrated", vector_to_array("_p")[1])
