@@ -94,4 +94,5 @@ def true_range(frame) -> Column:
 
 
 def pct(frame, x, k: int = 1) -> Column:
-    return c(x) / frame.lag(x, k) - 1
+    prev = frame.lag(x, k)
+    return F.when(prev != 0, c(x) / prev) - 1

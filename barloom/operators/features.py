@@ -19,7 +19,8 @@ HALO = 2000
 def price_action(d: DataFrame, w: Frame) -> DataFrame:
     rng, body = c("high") - c("low"), c("close") - c("open")
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
-    prev, ratio = w.lag("close"), c("close") / w.lag("close")
+    prev = w.lag("close")
+    ratio = safe_div("close", prev)
     d = d.withColumns({
         "close_return_1": pct(w, "close", 1), "close_return_3": pct(w, "close", 3), "close_return_5": pct(w, "close", 5),
         "close_return_10": pct(w, "close", 10), "log_return_1": F.when(ratio > 0, F.log(ratio)),

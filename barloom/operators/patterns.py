@@ -324,11 +324,11 @@ def premium_discount(d: DataFrame) -> DataFrame:
     retr = F.when(c("impulse_direction") == 1, safe_div(hi - c("close"), size)).when(c("impulse_direction") == -1, safe_div(c("close") - lo, size))
     ups = F.array(*[c(x) for x in ("prior_rth_high", "overnight_high", "ib_high", "prior_week_high", "equal_high_pool_level", "latest_swing_high")])
     dns = F.array(*[c(x) for x in ("prior_rth_low", "overnight_low", "ib_low", "prior_week_low", "equal_low_pool_level", "latest_swing_low")])
-    d = d.withColumns({"ote_retracement": retr, "dol_up": F.array_min(F.filter(ups, lambda x: x > c("close"))), "dol_down": F.array_max(F.filter(dns, lambda x: x < c("close")))})
-    r = c("ote_retracement")
+    d = d.withColumns({"retracement": retr, "dol_up": F.array_min(F.filter(ups, lambda x: x > c("close"))), "dol_down": F.array_max(F.filter(dns, lambda x: x < c("close")))})
+    r = c("retracement")
     return d.withColumns({
-        "discount_zone": flag(c("range_pct") < 0.5), "premium_zone": flag(c("range_pct") > 0.5), "in_ote_band": flag(r.between(0.62, 0.79)),
-        "dist_to_ote_mid": F.abs(r - 0.705), "ote_bucket": F.when(r < 0.62, -1).when(r > 0.79, 1).otherwise(0),
+        "discount_zone": flag(c("range_pct") < 0.5), "premium_zone": flag(c("range_pct") > 0.5), "in_entry_band": flag(r.between(0.62, 0.79)),
+        "dist_to_band_mid": F.abs(r - 0.705), "band_bucket": F.when(r < 0.62, -1).when(r > 0.79, 1).otherwise(0),
         "dol_up_atr": safe_div(c("dol_up") - c("close"), "atr_14"), "dol_down_atr": safe_div(c("close") - c("dol_down"), "atr_14")})
 
 

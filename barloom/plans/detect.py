@@ -259,17 +259,17 @@ def _(m):
 
 _UP = "[prior_rth_high, overnight_high, ib_high, prior_week_high, equal_high_pool_level, latest_swing_high]"
 _DN = "[prior_rth_low, overnight_low, ib_low, prior_week_low, equal_low_pool_level, latest_swing_low]"
-PD_SQL = f"""SELECT *, {s_flag('range_pct < 0.5')} AS discount_zone, {s_flag('range_pct > 0.5')} AS premium_zone, {s_flag('ote_retracement BETWEEN 0.62 AND 0.79')} AS in_ote_band,
- abs(ote_retracement - 0.705) AS dist_to_ote_mid, CASE WHEN ote_retracement < 0.62 THEN -1 WHEN ote_retracement > 0.79 THEN 1 ELSE 0 END AS ote_bucket,
+PD_SQL = f"""SELECT *, {s_flag('range_pct < 0.5')} AS discount_zone, {s_flag('range_pct > 0.5')} AS premium_zone, {s_flag('retracement BETWEEN 0.62 AND 0.79')} AS in_entry_band,
+ abs(retracement - 0.705) AS dist_to_band_mid, CASE WHEN retracement < 0.62 THEN -1 WHEN retracement > 0.79 THEN 1 ELSE 0 END AS band_bucket,
  {s_div('dol_up - close', 'atr_14')} AS dol_up_atr, {s_div('close - dol_down', 'atr_14')} AS dol_down_atr FROM (
- SELECT *, CASE impulse_direction WHEN 1 THEN {s_div('latest_swing_high - close', 'range_high - range_low')} WHEN -1 THEN {s_div('close - latest_swing_low', 'range_high - range_low')} END AS ote_retracement,
+ SELECT *, CASE impulse_direction WHEN 1 THEN {s_div('latest_swing_high - close', 'range_high - range_low')} WHEN -1 THEN {s_div('close - latest_swing_low', 'range_high - range_low')} END AS retracement,
  list_min(list_filter({_UP}, lambda x: x > close)) AS dol_up, list_max(list_filter({_DN}, lambda x: x < close)) AS dol_down FROM (
  SELECT *, CASE WHEN latest_swing_high IS NOT NULL AND latest_swing_low IS NOT NULL THEN {s_div('close - range_low', 'range_high - range_low')} END AS range_pct FROM (
  SELECT *, least(latest_swing_high, latest_swing_low) AS range_low, greatest(latest_swing_high, latest_swing_low) AS range_high,
  CASE WHEN latest_high_idx > latest_low_idx THEN 1 WHEN latest_low_idx > latest_high_idx THEN -1 ELSE 0 END AS impulse_direction FROM pt_ref)))"""
 
 
-@query("dt08_premium_discount", KEY + "range_low range_high range_pct impulse_direction:l ote_retracement discount_zone:l premium_zone:l in_ote_band:l dist_to_ote_mid ote_bucket:l dol_up dol_down dol_up_atr dol_down_atr", PD_SQL)
+@query("dt08_premium_discount", KEY + "range_low range_high range_pct impulse_direction:l retracement discount_zone:l premium_zone:l in_entry_band:l dist_to_band_mid band_bucket:l dol_up dol_down dol_up_atr dol_down_atr", PD_SQL)
 def _(m):
     return pt.premium_discount(refs_t(m))
 
