@@ -109,10 +109,10 @@ def profile_levels(hist: DataFrame, keys: list[str], area: float = 0.7, k: float
 
 
 def naked_levels(levels: DataFrame, bars: DataFrame, price: str = "poc") -> DataFrame:
-    """First bar after a level's birth that trades through it. Bars are binned by price and day so a level meets only bars near it."""
+    """First bar after a level's birth that trades through it. Day ranges screen the candidates, so a level meets only the bars of days that reach it."""
     b = bars.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.min("low").alias("dlo"), F.max("high").alias("dhi"))
-    # day summary first: the earliest later day whose range holds the level, then the bar inside that day
-    hit_day = (levels.join(b, "symbol").filter((c("day") > c("born")) & c(price).between(c("dlo"), c("dhi"))).groupBy("symbol", "born", price).agg(F.min("day").alias("day")))
-    inside = hit_day.join(bars.withColumn("day", F.to_date("ts")), ["symbol", "day"]).filter(c(price).between(c("low"), c("high")))
+    # a day's range may hold the level while no single bar does, so every candidate day is checked bar by bar
+    days = levels.join(b, "symbol").filter((c("day") > c("born")) & c(price).between(c("dlo"), c("dhi"))).select("symbol", "born", price, "day")
+    inside = days.join(bars.select("symbol", F.to_date("ts").alias("day"), "low", "high", "bar_idx"), ["symbol", "day"]).filter(c(price).between(c("low"), c("high")))
     first = inside.groupBy("symbol", "born", price).agg(F.min("bar_idx").alias("touched_idx"))
     return levels.join(first, ["symbol", "born", price], "left")

@@ -263,7 +263,7 @@ def _(m):
 
 
 @query("ml03_chronological_split", KEY + "split:s", """SELECT symbol, bar_idx, CASE WHEN rn < t1 THEN 'train' WHEN rn < t2 AND bar_idx >= g1 + 24 THEN 'val' WHEN rn >= t2 AND bar_idx >= g2 + 24 THEN 'test' END AS split FROM (
- SELECT *, max(bar_idx) FILTER (rn < t1) OVER (PARTITION BY symbol) AS g1, max(bar_idx) FILTER (rn < t2) OVER (PARTITION BY symbol) AS g2 FROM (SELECT symbol, bar_idx, bar_idx AS rn, floor(0.7 * count(*) OVER (PARTITION BY symbol)) AS t1, floor(0.85 * count(*) OVER (PARTITION BY symbol)) AS t2 FROM bars))""")
+ SELECT *, max(bar_idx) FILTER (rn < t1) OVER (PARTITION BY symbol) AS g1, max(bar_idx) FILTER (rn < t2) OVER (PARTITION BY symbol) AS g2 FROM (SELECT symbol, bar_idx, bar_idx AS rn, floor(0.7::DOUBLE * count(*) OVER (PARTITION BY symbol)) AS t1, floor(0.85::DOUBLE * count(*) OVER (PARTITION BY symbol)) AS t2 FROM bars))""")
 def _(m):
     from barloom.operators.prepare import embargoed_split
     return embargoed_split(m.bars(), 24)
