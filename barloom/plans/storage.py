@@ -122,9 +122,8 @@ def _(m):
  SELECT 'replace', count(*), sum(CASE WHEN month(o_orderdate) = 5 THEN o_totalprice + 1 ELSE o_totalprice END) FROM orders WHERE year(o_orderdate) = 1997""")
 def _(m):
     o = _orders(m).filter("year(ts) = 1997")
-    arch = o.filter("month(ts) = 5").withColumn("o_totalprice", F.when(c("o_orderkey") % 2 == 0, c("o_totalprice") + 1).otherwise(c("o_totalprice") + 1))
-    cur = o.filter("not (month(ts) = 5 and false)")
-    n = lambda s: files.restore(cur, arch, ["o_orderkey"], s).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")).withColumn("strategy", F.lit(s))
+    arch = o.filter("month(ts) = 5").withColumn("o_totalprice", c("o_totalprice") + 1)
+    n = lambda s: files.restore(o, arch, ["o_orderkey"], s).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")).withColumn("strategy", F.lit(s))
     return n("ignore").unionByName(n("replace"))
 
 
