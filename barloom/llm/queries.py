@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, topk, urls, warc
+from barloom.llm import bpe, neardup, topk, urls, warc
 from barloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,10 @@ def op1_top_k(spark: SparkSession, root: str) -> DataFrame:
     return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, root, "documents"))
+
+
 def op6_warc(spark: SparkSession, root: str) -> DataFrame:
     got = warc.read(warc.write(table(spark, root, "pages")))
     return got.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
@@ -32,5 +36,5 @@ def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op6_warc": op6_warc, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
-SQL = {"op1_top_k": topk.SQL, "op6_warc": warc.SQL, "op8_url_filter": urls.sql()}
+QUERIES = {"op1_top_k": op1_top_k, "op4_near_duplicates": op4_near_duplicates, "op6_warc": op6_warc, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op8_url_filter": urls.sql()}
