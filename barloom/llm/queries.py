@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, neardup, topk, urls, warc
+from barloom.llm import bpe, neardup, substring, topk, urls, warc
 from barloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,11 @@ def op6_warc(spark: SparkSession, root: str) -> DataFrame:
     return got.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
+def op7_repeated_passages(spark: SparkSession, root: str) -> DataFrame:
+    got = substring.remove_repeats(table(spark, root, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge(table(spark, root, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -36,5 +41,5 @@ def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op4_near_duplicates": op4_near_duplicates, "op6_warc": op6_warc, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
-SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op8_url_filter": urls.sql()}
+QUERIES = {"op1_top_k": op1_top_k, "op4_near_duplicates": op4_near_duplicates, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op7_repeated_passages": substring.SQL, "op8_url_filter": urls.sql()}
