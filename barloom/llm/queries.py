@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, neardup, substring, topk, urls, warc
+from barloom.llm import bpe, neardup, quality, substring, topk, toxicity, urls, warc, winnow
 from barloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -16,10 +16,20 @@ def op1_top_k(spark: SparkSession, root: str) -> DataFrame:
     return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    got = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, root, "labels")))
+    return got.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
 def op4_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, root, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    return winnow.compared(table(spark, root, "documents"))
+
+
 def op6_warc(spark: SparkSession, root: str) -> DataFrame:
     got = warc.read(warc.write(table(spark, root, "pages")))
     return got.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
@@ -34,6 +44,12 @@ def op8_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge(table(spark, root, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    got = toxicity.grade(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, root, "labels")))
+    return got.select("doc_id", "toxicity.severity", "toxicity.p_toxic", "toxicity.grade", F.col("toxicity.toxic").cast("int").alias("toxic"))
+
+
 def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     raw = bpe.rank_file(public_tokenizers.path(RANKS))
     ids = bpe.encode(table(spark, root, "documents"), raw, public_tokenizers.PATTERN)
@@ -41,5 +57,5 @@ def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op4_near_duplicates": op4_near_duplicates, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+QUERIES = {"op1_top_k": op1_top_k, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprints": op5_fingerprints, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op7_repeated_passages": substring.SQL, "op8_url_filter": urls.sql()}
