@@ -219,8 +219,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         left = shelved(left.select("a", "b"), "open-pairs")
         if left.isEmpty():
             break
-        links = links.unionByName(confirmed(left, src, stand))
-        labels = shelved(components(links), "components")
+        joined = _labelled(_labelled(confirmed(left, src, stand), labels, "a", "ca"), labels, "b", "cb")
+        more = shelved(components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # components of components
+        fresh = more.join(labels.select("node"), "node", "left_anti")
+        labels = shelved(_labelled(labels, more, "component", "least").select("node", F.col("least").alias("component")).unionByName(fresh), "components")
 
     whole = _labelled(member.select("id", "rep"), labels, "rep", "component_id").select("id", "component_id")
     # a component's label is its least representative, and a representative is the least id of its class

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, neardup, quality, substring, topk, toxicity, urls, warc, winnow
+from barloom.llm import bpe, neardup, packing, quality, substring, topk, toxicity, urls, warc, winnow
 from barloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,10 @@ def op1_top_k(spark: SparkSession, root: str) -> DataFrame:
     return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"), packing.words_and_end())
+
+
 def op3_quality(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     got = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, root, "labels")))
@@ -57,5 +61,5 @@ def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprints": op5_fingerprints, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+QUERIES = {"op1_top_k": op1_top_k, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprints": op5_fingerprints, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op7_repeated_passages": substring.SQL, "op8_url_filter": urls.sql()}

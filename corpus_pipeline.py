@@ -5,10 +5,50 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barloom.llm import neardup, packing, quality, substring, toxicity
+from barloom.llm.common import shelved, table
 from barloom.store import checkpoint_root
 
-STAGES: list = []
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of a toxic grade is below one half, in the model fitted to their labels."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model, out="__toxicity").filter(~F.col("__toxicity.toxic")).drop("__toxicity")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, out="__score").filter(F.col("__score") >= quality.CUT).drop("__score")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near duplicates. Rows that repeat a key count as one document: one row of them stays."""
+    gone = shelved(neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    names = docs.columns
+    repeats = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*names)
+    if repeats.isEmpty():
+        return left
+    several = left.join(repeats, "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"])
+    return left.join(repeats, "doc_id", "left_anti").select(*names).unionByName(several)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages removed; words that stay are joined by one space and n_chars follows."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    got = substring.remove_repeats(docs, carry=others)
+    return got.select("doc_id", F.col("kept").alias("text"), *others, F.char_length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in training sequences."""
+    return packing.pack(docs, packing.words_and_end())
+
+
+STAGES = [("toxicity", without_toxic), ("quality", good_quality), ("near_duplicates", one_of_each), ("repeated_passages", without_repeats), ("packing", packed)]
 ORACLE_SQL = None  # trained stages have no SQL form; tests/llm compares them with plain Python
 
 
