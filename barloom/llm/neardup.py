@@ -6,8 +6,9 @@ indexed once for each choice of slots that may be wrong, so all pairs under the
 quarter of the slots on average; the threshold lies 4.6 standard deviations above.
 
 Only components matter, so equal sets are one class, and a bucket is first resolved against its least member (at most one confirmed pair a
-document). Buckets that then still hold several components are searched in full, in blocks of bounded size; only pairs across components
-and under the threshold leave a block, and those are confirmed on whole sets too.
+document). Buckets that then still hold several components are searched in full, in blocks of bounded size: every pair across components and under
+the threshold is compared on whole sets, in the first bucket that it shares. A block hands on links alone, never candidates; texts come only
+to blocks that have such a pair for them.
 """
 
 from __future__ import annotations
@@ -78,17 +79,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(at, 2048)
             n = len(part)
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u2").reshape(n, CHUNKS, CHUNK).astype(np.uint64)
-            keys = np.empty((n, CHUNKS, len(kept)), dtype=np.uint64)
+            keys, nth = np.empty((n, CHUNKS, len(kept)), dtype=np.uint64), np.arange(CHUNKS * len(kept), dtype=np.int16)
             for k, slots in enumerate(kept):
                 h = np.full((n, CHUNKS), np.uint64(k + 1)) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(64)
                 for s in slots:
                     h = h * MIX + sig[:, :, s]
                 keys[:, :, k] = finish(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys[0].size))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys[0].size)), pa.array(np.tile(nth, n))],
+                                             names=["key", "id", "nth"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block, sorted by block: main x other and other x other, of different components and within the threshold."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole blocks, from rows sorted by block."""
     held = None
     for b in batches:
         if held is not None:
@@ -97,29 +99,77 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(block, block[-1], side="left")) if len(block) else 0
         held = b.slice(last)
         if last:
-            yield from _pairs(b.slice(0, last))
+            yield b.slice(0, last)
     if held is not None and len(held):
-        yield from _pairs(held)
+        yield held
 
 
-def _pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    block, ids, comp, side, inner = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-    sig = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype="<u2").reshape(len(b), SLOTS)
+def _meetings(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of ``b``) to compare: main x other and other x other of a block, of different components, within the threshold, in the first
+    bucket that the pair shares."""
+    block, comp, side, inner, nth = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "comp", "side", "inner", "nth"))
+    sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u2").reshape(len(b), SLOTS)
     edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(b)]
     for s, e in zip(edges[:-1], edges[1:]):
         here = np.arange(s, e)
         main, other = here[side[s:e] == 0], here[side[s:e] != 0]
-        todo = [(main, other)] if len(main) else []
+        todo = [(main, other, False)] if len(main) else []
         if len(other) > 1 and (inner[s] or not len(main)):
-            todo.append((other, other))
-        for left, right in todo:
+            todo.append((other, other, True))
+        for left, right, same in todo:
             for at in range(0, len(left), 64):
                 some = left[at:at + 64]
-                far = (sig[some][:, None, :] != sig[right][None]).sum(axis=2)
-                i, j = np.nonzero((far <= THRESHOLD) & (comp[some][:, None] != comp[right][None]))
+                equal = sig[some][:, None, :] == sig[right][None]
+                near = (equal.sum(axis=2) >= SLOTS - THRESHOLD) & (comp[some][:, None] != comp[right][None])
+                if same:
+                    near &= some[:, None] < right[None]
+                i, j = np.nonzero(near)
                 if len(i):
-                    x, y = ids[some[i]], ids[right[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far[i, j].astype(np.int32))], names=["a", "b", "far"])
+                    chunk = equal[i, j].reshape(-1, CHUNKS, CHUNK)
+                    right_slots = chunk.sum(axis=2)
+                    first = (right_slots >= CHUNK - ERRORS).argmax(axis=1)
+                    wrong = np.where(right_slots[np.arange(len(i)), first] == CHUNK, CHUNK - 1, chunk[np.arange(len(i)), first].argmin(axis=1))
+                    mine = first * CHUNK + (CHUNK - 1 - wrong) == nth[s]  # keys of a chunk are numbered by the slot they leave out, last slot first
+                    yield some[i[mine]], right[j[mine]]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, id) of the rows that have a pair in their block."""
+    for b in _groups(batches):
+        has = np.zeros(len(b), dtype=bool)
+        for x, y in _meetings(b):
+            has[x] = has[y] = True
+        if has.any():
+            yield b.filter(pa.array(has)).select(["block", "id", "comp", "side", "inner", "nth", "sig"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within blocks, one for each document and component at most; whole sets are compared."""
+    for b in _groups(batches):
+        ids, comp = b.column("id").to_numpy(), b.column("comp").to_numpy()
+        texts, sets, out = b.column("text").to_pylist(), {}, set()
+
+        def whole(i: int) -> np.ndarray:
+            if ids[i] not in sets:
+                sets[ids[i]] = shingle_set(texts[i], WORDS)
+            return sets[ids[i]]
+
+        for x, y in _meetings(b):
+            order = np.argsort(y, kind="stable")
+            x, y = x[order], y[order]
+            edges = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)] if len(y) else [0]
+            for s, e in zip(edges[:-1], edges[1:]):
+                mine, others = whole(y[s]), [whole(i) for i in x[s:e]]
+                sizes = np.array([len(o) for o in others])
+                every = np.concatenate(others)
+                both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every, np.concatenate([[0], np.cumsum(sizes[:-1])]))
+                good = 100 * both >= SIMILARITY * (sizes + len(mine) - both)
+                reached = {}
+                for i in x[s:e][good].tolist():
+                    reached.setdefault(comp[i], i)
+                out.update((int(ids[i]), int(ids[y[s]])) for i in reached.values())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +204,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, stand: DataFrame) -> DataFrame
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members (key, id, comp) of buckets with several components, dealt to blocks. The bucket's commonest component is its main side.
+    """Members (key, id, nth, comp) of buckets with several components, dealt to blocks. The bucket's commonest component is its main side.
 
     Every main block meets every other block, and other blocks meet each other; a bucket of nothing but small components has a small main side.
     """
@@ -168,8 +218,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     meet = F.transform(upto("others"), lambda o: F.struct(mine("mains").alias("x"), o.alias("y"), F.lit(0).alias("kind")))
     come = F.transform(upto("mains"), lambda m: F.struct(m.alias("x"), mine("others").alias("y"), F.lit(0).alias("kind")))
     cross = F.transform(F.filter(upto("others"), lambda o: o != mine("others")), lambda o: F.struct(F.least(o, mine("others")).alias("x"), F.greatest(o, mine("others")).alias("y"), F.lit(1).alias("kind")))
-    d = d.select("key", "id", "comp", F.when(is_main, 0).otherwise(1).alias("side"), F.explode(F.when(is_main, meet).otherwise(F.concat(come, cross))).alias("u"))
-    return d.select(F.xxhash64("key", "u").alias("block"), "id", "comp", "side", ((F.col("u.x") == 0) | (F.col("u.kind") == 1)).alias("inner"))
+    d = d.select("key", "id", "nth", "comp", F.when(is_main, 0).otherwise(1).alias("side"), F.explode(F.when(is_main, meet).otherwise(F.concat(come, cross))).alias("u"))
+    return d.select(F.xxhash64("key", "u").alias("block"), "id", "comp", "side", "nth", ((F.col("u.x") == 0) | (F.col("u.kind") == 1)).alias("inner"))
 
 
 def _labelled(d: DataFrame, labels: DataFrame | None, col: str, out: str) -> DataFrame:
@@ -195,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = member.filter("id = rep").select("id", "text_hash")
     signed = shelved(nodes.join(reps, ["id", "text_hash"]).select("id", "text_hash", "sig").dropDuplicates(["id"]), "representatives")
 
-    keys = signed.select("id", "sig").mapInArrow(_keys, "key long, id long")
+    keys = signed.select("id", "sig").mapInArrow(_keys, "key long, id long, nth short")
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("top")).filter("leader < top").select("key", "leader")
     buckets = shelved(keys.join(shared, "key"), "buckets")
     near = buckets.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
@@ -207,22 +257,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = confirmed(first, src, stand)
     labels = shelved(components(links), "components")
 
-    open_ = _labelled(buckets.select("key", "id"), labels, "id", "comp")
+    open_ = _labelled(buckets.select("key", "id", "nth"), labels, "id", "comp")
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     units = _blocks(shelved(open_.join(several, "key"), "open")).join(sig, "id")
-    pairs = units.select("block", "id", "comp", "side", "inner", "sig").repartition("block").sortWithinPartitions("block").mapInArrow(_across, "a long, b long, far int")
-    pairs = shelved(pairs.groupBy("a", "b").agg(F.min("far").alias("far")), "candidates")
-    for only_best in (True, False):  # the closest pair of two components first, then whatever still lies across components
-        left = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
-        if only_best:
-            left = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
-        left = shelved(left.select("a", "b"), "open-pairs")
-        if left.isEmpty():
-            break
-        joined = _labelled(_labelled(confirmed(left, src, stand), labels, "a", "ca"), labels, "b", "cb")
-        more = shelved(components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # components of components
-        fresh = more.join(labels.select("node"), "node", "left_anti")
-        labels = shelved(_labelled(labels, more, "component", "least").select("node", F.col("least").alias("component")).unionByName(fresh), "components")
+    fields = "block long, id long, comp long, side int, inner boolean, nth short, sig binary"
+    by_block = lambda d: d.repartition("block").sortWithinPartitions("block")
+    needed = by_block(units.select("block", "id", "comp", "side", "inner", "nth", "sig")).mapInArrow(_needed, fields)
+    needed = shelved(needed.join(stand, "id"), "needed")
+    found = by_block(needed.join(src, ["id", "text_hash"]).drop("text_hash")).mapInArrow(_linked, "a long, b long")
+    joined = _labelled(_labelled(found, labels, "a", "ca"), labels, "b", "cb")
+    more = shelved(components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # components of components
+    fresh = more.join(labels.select("node"), "node", "left_anti")
+    labels = shelved(_labelled(labels, more, "component", "least").select("node", F.col("least").alias("component")).unionByName(fresh), "components")
 
     whole = _labelled(member.select("id", "rep"), labels, "rep", "component_id").select("id", "component_id")
     # a component's label is its least representative, and a representative is the least id of its class
