@@ -30,6 +30,16 @@ def number_rows(df: DataFrame, order: str = "ts", span_seconds: int = 4096 * 360
             .withColumn(name, (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_chunk", "_rank", "_base"))
 
 
+def positions(df: DataFrame, order: Sequence[Column], chunk: Column, keys: Sequence[str], name: str) -> DataFrame:
+    """Zero-based position per key in any order: rank inside a chunk plus the rows of the chunks before it. ``chunk`` must not fall along ``order``."""
+    keys = list(keys)
+    rows = df.withColumn("_chunk", chunk)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
+    return ranked.join(offsets, [*keys, "_chunk"]).withColumn(name, (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_chunk", "_rank", "_base")
+
+
 def spread(df: DataFrame, before: int, after: int = 0, size: int = BLOCK_ROWS, idx: str = "bar_idx") -> DataFrame:
     """Assign rows to index blocks and copy each into the blocks whose halo needs it (adds ``block`` and ``own``)."""
     i = F.col(idx)

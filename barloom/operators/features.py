@@ -1,19 +1,26 @@
-"""Bar feature families. Each takes block rows plus a :class:`Frame` and adds its columns; families compose inside one partitioning.
-
-``HALO`` rows cover the longest bounded look-back of the composed set, so the composed plan shuffles bars once.
+"""Bar feature families. Those with a bounded look-back take block rows plus a :class:`Frame` and compose inside one partitioning (``LOOK`` rows cover
+the longest). Event ages, latest levels and impulse islands reach back without bound; they are block scans over the whole history
+(:func:`carry_last`, :func:`running`), so no result depends on where a block ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import clock
 from barloom.functions.cols import (c, clip, depth_quality, flag, mean_of, pct, proximity, safe_div, sign3, true_range)
-from barloom.operators.blocks import Frame, blocked, with_kernel
+from barloom.operators.blocks import BLOCK_ROWS, Frame, blocked, carry_last, running, with_kernel
 from barloom.operators.recursive import SMOOTH, smooth
+from barloom.store import saved
+
+LOOK = 160
+
 
-HALO = 2000
+def ages(d: DataFrame, events: dict[str, Column], size: int = BLOCK_ROWS) -> DataFrame:
+    """Bars since each condition last held, over the whole history; null before its first time."""
+    d = carry_last(d, {f"_at_{n}": F.when(cond, c("bar_idx")) for n, cond in events.items()}, size=size)
+    return d.withColumns({n: c("bar_idx") - c(f"_at_{n}") for n in events}).drop(*[f"_at_{n}" for n in events])
 
 
 def price_action(d: DataFrame, w: Frame) -> DataFrame:
@@ -100,10 +107,13 @@ def structure(d: DataFrame, w: Frame) -> DataFrame:
         "displacement_bullish": flag((c("close") > c("open")) & strong), "displacement_bearish": flag((c("close") < c("open")) & strong)})
     return d.withColumns({
         "in_discount_zone": flag(c("price_position_50") < 0.35), "in_premium_zone": flag(c("price_position_50") > 0.65),
-        "bars_since_sweep_high": w.since(c("sweep_high_20") == 1), "bars_since_sweep_low": w.since(c("sweep_low_20") == 1),
         "structure_pressure": c("breakout_high_20") - c("breakout_low_20")})
 
 
+def structure_ages(d: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    return ages(d, {"bars_since_sweep_high": c("sweep_high_20") == 1, "bars_since_sweep_low": c("sweep_low_20") == 1}, size)
+
+
 def session(d: DataFrame, w: Frame | None = None) -> DataFrame:
     t = clock.local("ts")
     d = d.withColumns({"hour": F.hour(t), "minute": F.minute(t), "day_of_week": F.weekday(t), "month": F.month(t), **clock.sessions()})
@@ -166,20 +176,34 @@ def swings(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
     d = d.withColumns({
         "confirmed_swing_high": F.coalesce(w.lag("raw_swing_high", n), F.lit(0)), "confirmed_swing_low": F.coalesce(w.lag("raw_swing_low", n), F.lit(0)),
         "_hl": F.when(w.lag("raw_swing_high", n) == 1, w.lag("high", n)), "_ll": F.when(w.lag("raw_swing_low", n) == 1, w.lag("low", n))})
-    return d.withColumns({"swing_high_level": c("_hl"), "swing_low_level": c("_ll"), "latest_swing_high": w.last("_hl"),
-                          "latest_swing_low": w.last("_ll")}).drop("_hl", "_ll")
+    return d.withColumns({"swing_high_level": c("_hl"), "swing_low_level": c("_ll")}).drop("_hl", "_ll")
+
 
+def latest_levels(d: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """Last confirmed swing levels and the ages of sweeps, in one scan."""
+    d = carry_last(d, {"latest_swing_high": c("swing_high_level"), "latest_swing_low": c("swing_low_level"), "_hi": F.when(c("sweep_high_20") == 1, c("bar_idx")),
+                       "_lo": F.when(c("sweep_low_20") == 1, c("bar_idx"))}, size=size)
+    return d.withColumns({"bars_since_sweep_high": c("bar_idx") - c("_hi"), "bars_since_sweep_low": c("bar_idx") - c("_lo")}).drop("_hi", "_lo")
 
-def exhaustion(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
-    """Needs rsi_14, atr_14, volume_relative_20, the prior extremes and confirmed swings."""
-    d = d.withColumns({"_r": pct(w, "close"), "_rng": c("high") - c("low"),
-                       "_hr": F.when(w.lag("raw_swing_high", n) == 1, w.lag("rsi_14", n)), "_lr": F.when(w.lag("raw_swing_low", n) == 1, w.lag("rsi_14", n)),
-                       "_atr": F.coalesce(w.last("atr_14"), F.lit(0.0))})
+
+def exhaustion(d: DataFrame, size: int = BLOCK_ROWS, n: int = 3) -> DataFrame:
+    """Needs rsi_14, atr_14, volume_relative_20, the prior extremes, confirmed swings and their latest levels."""
     hi_ok, lo_ok = c("swing_high_level").isNotNull() & c("_hr").isNotNull(), c("swing_low_level").isNotNull() & c("_lr").isNotNull()
-    prev = -1
+    d = blocked(d, lambda r, w: r.withColumns({
+        "_hr": F.when(w.lag("raw_swing_high", n) == 1, w.lag("rsi_14", n)), "_lr": F.when(w.lag("raw_swing_low", n) == 1, w.lag("rsi_14", n))}), before=n, size=size)
+    d = saved(d, "pivots")
+    d = carry_last(d, {"_php": F.when(hi_ok, c("swing_high_level")), "_phr": F.when(hi_ok, c("_hr")), "_plp": F.when(lo_ok, c("swing_low_level")),
+                       "_plr": F.when(lo_ok, c("_lr"))}, size=size, strict=True)
+    d = carry_last(d, {"_atr": c("atr_14")}, size=size)
+    d = saved(blocked(d, _exhaustion, before=61, size=size), "exhaustion")
+    return ages(d, {"bars_since_bullish_divergence": c("bullish_divergence_event") == 1, "bars_since_bearish_divergence": c("bearish_divergence_event") == 1}, size)
+
+
+def _exhaustion(d: DataFrame, w: Frame) -> DataFrame:
+    hi_ok, lo_ok = c("swing_high_level").isNotNull() & c("_hr").isNotNull(), c("swing_low_level").isNotNull() & c("_lr").isNotNull()
+    d = d.withColumns({
+        "_r": pct(w, "close"), "_rng": c("high") - c("low"), "_atr": F.coalesce("_atr", F.lit(0.0))})
     d = d.withColumns({
-        "_php": w.last(F.when(hi_ok, c("swing_high_level")), b=prev), "_phr": w.last(F.when(hi_ok, c("_hr")), b=prev),
-        "_plp": w.last(F.when(lo_ok, c("swing_low_level")), b=prev), "_plr": w.last(F.when(lo_ok, c("_lr")), b=prev),
         "return_slope_3": w.mean("_r", 3), "return_slope_8": w.mean("_r", 8), "_s21": w.mean("_r", 21),
         "rsi_slope_3": (c("rsi_14") - w.lag("rsi_14", 3)) / 3.0, "rsi_slope_8": (c("rsi_14") - w.lag("rsi_14", 8)) / 8.0,
         "_q21": (c("rsi_14") - w.lag("rsi_14", 21)) / 21.0, "_g10": w.mean("_rng", 10), "_g50": w.mean("_rng", 50),
@@ -200,7 +224,6 @@ def exhaustion(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
         "range_expansion_shock_10": safe_div("_rng", "_g10")})
     fade = clip(c("_w10") - c("_w3"), 0.0)
     d = d.withColumns({
-        "bars_since_bullish_divergence": w.since(c("bullish_divergence_event") == 1), "bars_since_bearish_divergence": w.since(c("bearish_divergence_event") == 1),
         "compression_regime": flag((c("range_compression_10_50") < 0.8) & (c("volatility_compression_10_50") < 0.8)),
         "bull_volume_exhaustion": clip("distance_from_bull_origin_atr", 0.0) * fade * (clip(c("rsi_14") - 50, 0.0) / 50.0),
         "bear_volume_exhaustion": clip("distance_from_bear_origin_atr", 0.0) * fade * (clip(50 - c("rsi_14"), 0.0) / 50.0),
@@ -211,25 +234,30 @@ def exhaustion(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
     return d.drop(*[x for x in d.columns if x.startswith("_")])
 
 
-def temporal(d: DataFrame, w: Frame) -> DataFrame:
+def temporal(d: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     """Event ages, densities and sweep-displacement order. Structure breaks come from bos_*/choch_* columns when present."""
     body = F.abs(c("close") - c("open"))
-    has = lambda n: (c(n) == 1) if n in d.columns else F.lit(False)
     d = d.withColumns({"bullish_rejection": flag((c("lower_wick") > body * 1.5) & (c("close_location") > 0.6)),
                        "bearish_rejection": flag((c("upper_wick") > body * 1.5) & (c("close_location") < 0.4))})
+    has = lambda n: (c(n) == 1) if n in d.columns else F.lit(False)
     sweep = has("sweep_high_20") | has("sweep_low_20")
     disp = has("displacement_bullish") | has("displacement_bearish")
     bos, choch = has("bos_bull") | has("bos_bear"), has("choch_bull") | has("choch_bear")
     rej = has("bullish_rejection") | has("bearish_rejection")
     swing = has("confirmed_swing_high") | has("confirmed_swing_low")
     major = sweep | bos | choch | disp | rej
-    last = lambda cond: F.coalesce(w.last(F.when(cond, c("bar_idx"))), F.lit(-1))
-    d = d.withColumns({
-        "bars_since_last_sweep": w.since(sweep), "bars_since_last_bos": w.since(bos), "bars_since_last_choch": w.since(choch),
-        "bars_since_last_displacement": w.since(disp), "bars_since_last_rejection": w.since(rej), "cooldown_since_major_event": w.since(major),
-        "_m": flag(major), "_sw": flag(swing), "_lsl": last(has("sweep_low_20")), "_lsh": last(has("sweep_high_20")),
-        "_ldb": last(has("displacement_bullish")), "_lds": last(has("displacement_bearish")),
-        "_sb": F.greatest(last(has("bos_bull")), last(has("choch_bull"))), "_ss": F.greatest(last(has("bos_bear")), last(has("choch_bear")))})
+    at = lambda cond: F.when(cond, c("bar_idx"))
+    since = {"bars_since_last_sweep": sweep, "bars_since_last_bos": bos, "bars_since_last_choch": choch, "bars_since_last_displacement": disp,
+             "bars_since_last_rejection": rej, "cooldown_since_major_event": major}
+    last = {"_lsl": has("sweep_low_20"), "_lsh": has("sweep_high_20"), "_ldb": has("displacement_bullish"), "_lds": has("displacement_bearish"),
+            "_sb": has("bos_bull") | has("choch_bull"), "_ss": has("bos_bear") | has("choch_bear")}
+    d = saved(d.withColumns({"_m": flag(major), "_sw": flag(swing)}), "events")
+    d = carry_last(d, {**{f"_at_{n}": at(cond) for n, cond in since.items()}, **{n: at(cond) for n, cond in last.items()}}, size=size)
+    d = d.withColumns({**{n: c("bar_idx") - c(f"_at_{n}") for n in since}, **{n: F.coalesce(n, F.lit(-1)) for n in last}}).drop(*[f"_at_{n}" for n in since])
+    return blocked(d, _temporal, before=50, size=size)
+
+
+def _temporal(d: DataFrame, w: Frame) -> DataFrame:
     near = F.abs("close_vs_ema_8_atr") <= 1.0
     order = lambda s, t: (c(s) >= 0) & (c(t) > c(s)) & (c("bar_idx") - c(t) <= 10) & (c(t) - c(s) <= 8)
     bull, bear = order("_lsl", "_ldb"), order("_lsh", "_lds")
@@ -249,9 +277,28 @@ def temporal(d: DataFrame, w: Frame) -> DataFrame:
     return d.drop(*[x for x in d.columns if x.startswith("_")])
 
 
-def pullback(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
+def pullback(d: DataFrame, size: int = BLOCK_ROWS, n: int = 3) -> DataFrame:
     """Impulse, peak and retracement geometry per side. Each impulse opens an island; the peak is the running extreme inside it."""
-    rng = c("high") - c("low")
+    d = blocked(d, lambda r, w: _impulses(r, w, n), before=4 * n, size=size)
+    sides = (("b", "continuation_bull_impulse_event", "high", 1, "latest_swing_low", "_flo", "prior_high_20"),
+             ("s", "continuation_bear_impulse_event", "low", -1, "latest_swing_high", "_fhi", "prior_low_20"))
+    new = {}
+    for side, ev, _, _, origin, fall, level in sides:
+        on = c(ev) == 1
+        new |= {f"_{side}at": F.when(on, c("bar_idx")), f"_{side}or": F.when(on, F.coalesce(origin, fall)), f"_{side}lv": F.when(on, F.coalesce(level, "close"))}
+    d = saved(carry_last(saved(d, "impulses"), new, size=size), "islands")
+    for side, _, ext, sign, *_ in sides:  # narrow tables: one island key at a time
+        isl, pk, pi = ("symbol", f"_{side}at"), f"_{side}pk", f"_{side}pi"
+        n = saved(running(d.select(*isl, "bar_idx", ext), maxs={pk: c(ext) * sign}, keys=isl, size=size), "peaks")
+        n = n.withColumn(pk, F.when(c(isl[1]).isNotNull(), c(pk) * sign))
+        n = carry_last(n, {pi: F.when(c(ext) == c(pk), c("bar_idx"))}, keys=isl, size=size)
+        d = d.join(n.select("symbol", "bar_idx", pk, pi), ["symbol", "bar_idx"])
+    d = saved(blocked(d, _pullback, before=16, size=size), "pullback")
+    return ages(d, {"continuation_bars_since_bull_resume": c("continuation_bull_resume_event") == 1,
+                    "continuation_bars_since_bear_resume": c("continuation_bear_resume_event") == 1}, size)
+
+
+def _impulses(d: DataFrame, w: Frame, n: int) -> DataFrame:
     d = d.withColumns({"_bt": flag(c("ema_alignment") > 0), "_st": flag(c("ema_alignment") < 0), "_atr": F.when(c("atr_14") != 0, c("atr_14")),
                        "_flo": F.min("low").over(w.rows(-2 * n, 0)), "_fhi": F.max("high").over(w.rows(-2 * n, 0)),
                        "_sm": F.avg("close").over(w.rows(-2, 0))})
@@ -261,18 +308,14 @@ def pullback(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
         "_bi": flag((c("_bt") == 1) & (disp_up | brk_up) & (c("close") > c("open")) & (c("close_location") > 0.55)),
         "_si": flag((c("_st") == 1) & (disp_dn | brk_dn) & (c("close") < c("open")) & (c("close_location") < 0.45)),
         "_slope": safe_div(c("_sm") - w.lag("_sm", 8), c("_atr") * 8.0)})
-    d = d.withColumns({"continuation_bull_impulse_event": flag((c("_bi") == 1) & (F.coalesce(w.lag("_bi"), F.lit(0)) == 0)),
-                       "continuation_bear_impulse_event": flag((c("_si") == 1) & (F.coalesce(w.lag("_si"), F.lit(0)) == 0))})
-    for side, ev, ext, origin, fall, level in (
-            ("b", "continuation_bull_impulse_event", "high", "latest_swing_low", "_flo", "prior_high_20"),
-            ("s", "continuation_bear_impulse_event", "low", "latest_swing_high", "_fhi", "prior_low_20")):
-        on = c(ev) == 1
-        d = d.withColumns({f"_{side}at": w.last(F.when(on, c("bar_idx"))), f"_{side}or": w.last(F.when(on, F.coalesce(origin, fall))),
-                           f"_{side}lv": w.last(F.when(on, F.coalesce(level, "close")))})
-        isl = Frame(("symbol", "block", f"_{side}at"))
-        far = (F.max if side == "b" else F.min)(ext).over(isl.rows(Window.unboundedPreceding, 0))
-        d = d.withColumn(f"_{side}pk", F.when(c(f"_{side}at").isNotNull(), far))
-        d = d.withColumn(f"_{side}pi", F.last(F.when(c(ext) == c(f"_{side}pk"), c("bar_idx")), True).over(isl.rows(Window.unboundedPreceding, 0)))
+    return d.withColumns({"continuation_bull_impulse_event": flag((c("_bi") == 1) & (F.coalesce(w.lag("_bi"), F.lit(0)) == 0)),
+                          "continuation_bear_impulse_event": flag((c("_si") == 1) & (F.coalesce(w.lag("_si"), F.lit(0)) == 0))})
+
+
+def _pullback(d: DataFrame, w: Frame) -> DataFrame:
+    rng = c("high") - c("low")
+    disp_up, disp_dn = c("displacement_bullish") == 1, c("displacement_bearish") == 1
+    brk_up, brk_dn = c("breakout_high_20") == 1, c("breakout_low_20") == 1
     ok = c("_atr") > 0
     bull, bear = ok & c("_bat").isNotNull(), ok & c("_sat").isNotNull()
     d = d.withColumns({
@@ -307,8 +350,6 @@ def pullback(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
                                                & (F.coalesce(c("close") > c("_rh3"), F.lit(False)) | disp_up | brk_up)),
         "continuation_bear_resume_event": flag((c("_st") == 1) & (c("_bearrec") == 1) & (c("close") < c("open")) & (c("close_location") < 0.45)
                                                & (F.coalesce(c("close") < c("_rl3"), F.lit(False)) | disp_dn | brk_dn))})
-    d = d.withColumns({"continuation_bars_since_bull_resume": w.since(c("continuation_bull_resume_event") == 1),
-                       "continuation_bars_since_bear_resume": w.since(c("continuation_bear_resume_event") == 1)})
     return d.drop(*[x for x in d.columns if x.startswith("_")])
 
 
@@ -366,17 +407,20 @@ def with_smooth(bars: DataFrame, weeks: int = 26, warmup: int = 2000) -> DataFra
     return with_kernel(bars, smooth, SMOOTH, ["close"], weeks=weeks, warmup=warmup)
 
 
-def core(bars: DataFrame, extra=(), halo: int = HALO) -> DataFrame:
-    """The core families plus any extra ones, in one block partitioning. Event ages restart ``halo`` bars before the block."""
+def core(bars: DataFrame, extra=(), size: int = BLOCK_ROWS) -> DataFrame:
+    """The core families in one block partitioning, the latest swing levels and sweep ages over the whole history, then any extra families."""
     def build(d, w):
-        for f in (*CORE, *extra):
+        for f in CORE:
             d = f(d, w)
         return d
-    return blocked(with_smooth(bars), build, before=halo, after=3, size=3 * halo)
+    d = latest_levels(saved(blocked(with_smooth(bars), build, before=LOOK, after=3, size=size), "core"), size)
+    for f in extra:
+        d = f(d, size)
+    return d
 
 
 # name -> (family, families it needs first, bounded look-back rows)
-FAMILIES = {"price_action": (price_action, (), 10), "volatility": (volatility, (), 61), "volume": (volume, (), 51), "structure": (structure, ("volatility",), HALO),
+FAMILIES = {"price_action": (price_action, (), 10), "volatility": (volatility, (), 61), "volume": (volume, (), 51), "structure": (structure, ("volatility",), 61),
             "session": (session, (), 0), "microstructure": (microstructure, (), 1), "quality": (quality, ("volatility",), 61), "fractional_diff": (fractional_diff, (), 200),
             "swings": (swings, (), 6)}
 
@@ -393,4 +437,5 @@ def run_sets(bars: DataFrame, names: list[str]) -> DataFrame:
         for n in order:
             d = FAMILIES[n][0](d, w)
         return d
-    return blocked(bars, build, before=max(max(FAMILIES[n][2] for n in order), 1), after=3, size=3 * HALO)
+    d = blocked(bars, build, before=max(sum(FAMILIES[n][2] for n in order), 1), after=3)
+    return structure_ages(d) if "structure" in order else d

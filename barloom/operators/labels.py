@@ -87,17 +87,19 @@ def cooldown(events: DataFrame, bars_apart: int, keys=("symbol",), idx: str = "b
 def admit(trades: DataFrame, keys=("symbol",), start: str = "bar_idx", end: str = "exit_idx", size: int = 4096) -> DataFrame:
     """One open position at a time: a trade is taken only after the last taken one has exited.
 
-    Trades that start after every earlier exit open a new independent run; only overlapping runs are folded in order.
+    Trades that start after every earlier exit open a new independent run; only overlapping runs are folded, by start, exit and a hash of the row,
+    so of trades that start together one is taken. Rows equal in every column count as one trade.
     """
+    trades = trades.withColumn("_id", F.xxhash64(*trades.columns))
     t = running(trades, maxs={"_far": c(end)}, keys=keys, order=start, size=size)
     from barloom.operators.blocks import carry_last
     t = carry_last(t, {"_before": c("_far")}, keys=keys, order=start, size=size, strict=True)
     t = islands(t, c("_before").isNull() | (c(start) > c("_before")), keys, start, "_run", size)
-    runs = t.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(c(start).alias("a"), c(end).alias("b")))).alias("_all"))
+    runs = t.groupBy(*keys, "_run").agg(F.array_sort(F.collect_set(F.struct(c(start).alias("a"), c(end).alias("b"), "_id"))).alias("_all"))
     zero = F.struct(F.lit(None).cast("long").alias("free"), F.array().cast("array<long>").alias("kept"))
 
     def step(s, v):
         take = s["free"].isNull() | (v["a"] > s["free"])
-        return F.struct(F.when(take, v["b"].cast("long")).otherwise(s["free"]).alias("free"), F.when(take, F.concat(s["kept"], F.array(v["a"].cast("long")))).otherwise(s["kept"]).alias("kept"))
-    kept = runs.select(*keys, F.explode(F.aggregate("_all", zero, step)["kept"]).alias(start), F.lit(1).alias("admitted"))
-    return t.drop("_far", "_before", "_run").join(kept, [*keys, start], "left").withColumn("admitted", F.coalesce("admitted", F.lit(0)))
+        return F.struct(F.when(take, v["b"].cast("long")).otherwise(s["free"]).alias("free"), F.when(take, F.concat(s["kept"], F.array(v["_id"]))).otherwise(s["kept"]).alias("kept"))
+    kept = runs.select(*keys, F.explode(F.aggregate("_all", zero, step)["kept"]).alias("_id"), F.lit(1).alias("admitted"))
+    return t.drop("_far", "_before", "_run").join(kept, [*keys, "_id"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(0))).drop("_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import c, flag
-from barloom.operators.blocks import running
+from barloom.operators.blocks import positions, running
 
 
 def summary(trades: DataFrame, by=()) -> DataFrame:
@@ -43,14 +43,18 @@ def risk_ratios(periods: DataFrame, per_year: float, keys=("symbol",)) -> DataFr
     return g.withColumns({"sharpe": F.when(c("s") > 0, c("m") / c("s") * root).otherwise(0.0), "sortino": F.when(c("d") > 0, c("m") / c("d") * root).otherwise(0.0)})
 
 
+def by_score(g: DataFrame, keys, scale: int = 1_000_000) -> DataFrame:
+    """Position ``_o`` of each distinct score, highest first; scores are compared in full, ``scale`` only sets the width of the chunks they are ranked in."""
+    return positions(g, [F.desc("probability")], F.floor(-c("probability") * scale), keys, "_o")
+
+
 def ranking(scored: DataFrame, keys=("model_id",), scale: int = 1_000_000, size: int = 4096) -> DataFrame:
     """Step-wise average precision and ROC AUC with tied scores grouped; 0 when only one class is present.
 
     Scores are first collapsed to distinct values, then prefix-summed block by block from the highest down.
     """
     g = scored.groupBy(*keys, "probability").agg(F.sum("target").alias("p"), F.sum(1 - c("target")).alias("n"))
-    g = g.withColumn("_o", F.round((1.0 - c("probability")) * scale).cast("long"))
-    r = running(g, sums={"tp": c("p"), "fp": c("n")}, keys=keys, order="_o", size=size)
+    r = running(by_score(g, keys, scale), sums={"tp": c("p"), "fp": c("n")}, keys=keys, order="_o", size=size)
     out = r.groupBy(*keys).agg(F.sum(c("p") * c("tp") / (c("tp") + c("fp"))).alias("a"), F.sum("p").alias("pos"), F.sum("n").alias("neg"),
                                F.sum(c("n") * (c("tp") - c("p") / 2.0)).alias("area"))
     both = (c("pos") > 0) & (c("neg") > 0)

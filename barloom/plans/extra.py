@@ -116,7 +116,7 @@ def _(m):
     w = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
     g = p.withColumn("w", w).groupBy("model_id", "b", "probability").agg(F.sum(c("w") * c("target")).alias("p"), F.sum("w").alias("n"))
     from barloom.operators.blocks import running
-    r = running(g.withColumn("_o", F.round((1 - c("probability")) * 1_000_000).cast("long")), sums={"tp": c("p"), "all": c("n")}, keys=("model_id", "b"), order="_o")
+    r = running(mt.by_score(g, ("model_id", "b")), sums={"tp": c("p"), "all": c("n")}, keys=("model_id", "b"), order="_o")
     ap = r.groupBy("model_id", "b").agg((F.sum(F.when(c("all") > 0, c("p") * c("tp") / F.when(c("all") > 0, c("all")))) / F.sum("p")).alias("ap"))
     return ap.groupBy("model_id").agg(F.percentile("ap", 0.025).alias("low"), F.percentile("ap", 0.975).alias("high"))
 
@@ -166,16 +166,21 @@ def _(m):
 
 @query("ag62_lineage_closure", "child:l ancestors:l", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS child, o_custkey // 3 AS parent FROM orders WHERE o_custkey > 0), r AS (SELECT child, parent FROM e UNION SELECT r.child, r.parent // 3 FROM r WHERE r.parent > 0) SELECT child, count(*) AS ancestors FROM r GROUP BY 1""")
 def _(m):
-    """Transitive closure by doubling: each round joins the closure with itself, so the rounds grow with the log of the depth."""
+    """Transitive closure by doubling: each round joins the closure with itself until no pair is new, so the rounds grow with the log of the depth."""
+    def until_stable(name, rows, grow):
+        n, k = -1, 0
+        while True:
+            rows = m.stage(f"{name}{k}", lambda rows=rows: grow(rows) if k else rows)
+            if (now := rows.count()) == n:
+                return rows
+            n, k = now, k + 1
+
     e = m.table("orders").filter("o_custkey > 0").select(c("o_custkey").alias("child"), F.floor(c("o_custkey") / 3).alias("parent")).distinct()
     # every ancestor is itself an edge source
-    up = e.select(c("parent").alias("child")).distinct().filter("child > 0")
-    for _ in range(5):
-        up = up.unionByName(up.select(F.floor(c("child") / 3).alias("child")).filter("child > 0")).distinct()
+    up = until_stable("lineage", e.select(c("parent").alias("child")).distinct().filter("child > 0"),
+                      lambda u: u.unionByName(u.select(F.floor(c("child") / 3).alias("child")).filter("child > 0")).distinct())
     edges = e.unionByName(up.withColumn("parent", F.floor(c("child") / 3))).distinct()
-    clo = edges
-    for k in range(3):
-        clo = m.stage(f"closure{k}", lambda clo=clo: clo.unionByName(clo.join(clo.select(c("child").alias("parent"), c("parent").alias("up")), "parent").select("child", c("up").alias("parent"))).distinct())
+    clo = until_stable("closure", edges, lambda r: r.unionByName(r.join(r.select(c("child").alias("parent"), c("parent").alias("up")), "parent").select("child", c("up").alias("parent"))).distinct())
     return clo.join(e.select("child"), "child", "left_semi").groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"))
 
 

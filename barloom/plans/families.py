@@ -124,7 +124,7 @@ shared("struc", struct_sql("vol"))
 
 @query("ff06_structure", KEY + STR, "SELECT * FROM struc")
 def _(m):
-    return blocked(m.bars(), lambda d, w: ff.structure(ff.volatility(d, w), w), before=ff.HALO, size=3 * ff.HALO)
+    return ff.structure_ages(blocked(m.bars(), lambda d, w: ff.structure(ff.volatility(d, w), w), before=122))
 
 
 SES = ("hour:l minute:l day_of_week:l month:l hour_sin hour_cos dow_sin dow_cos in_asian_session:l in_london_session:l in_newyork_session:l "

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,11 @@ def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> Dat
             build().write.mode("overwrite").parquet(path)
             _written[slot] = path
     return spark.read.parquet(path)
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to a new folder of the shared storage and return a scan of it; for a table that the next step reads more than once."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/barloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -40,7 +40,7 @@ def test_future_bars_do_not_change_the_past(spark):
     b = number_rows(series(spark)).cache()
     cut = b.filter("bar_idx < 400")
     cols = ["prior_high_20", "sweep_high_20", "bars_since_sweep_high"]
-    f = lambda d: blocked(d, lambda r, w: ff.structure(ff.volatility(r, w), w), before=300, size=900)
+    f = lambda d: ff.structure_ages(blocked(d, lambda r, w: ff.structure(ff.volatility(r, w), w), before=122, size=90), 90)
     full = [r for r in rows(f(b), cols) if r[1] < 400]
     assert full == rows(f(cut), cols)
 
