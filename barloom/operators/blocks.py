@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.store import saved
+
 BLOCK_ROWS = 4096
 KEYS = ("symbol",)
 
@@ -199,6 +201,53 @@ def kernel(df: DataFrame, fn: Callable, out_schema: str, inputs: Sequence[str],
     return src.groupBy(*keys, "block").applyInPandas(run, schema)
 
 
+def chained(df: DataFrame, fn: Callable, zero: Sequence[float], out_schema: str, inputs: Sequence[str], size: int = BLOCK_ROWS, idx: str = "bar_idx",
+            keys: Sequence[str] = KEYS) -> DataFrame:
+    """State machine over the whole history, block by block: ``fn(pdf sorted by idx, state) -> (dict of arrays, state)``.
+
+    Every block first runs from ``zero``; then each starts from the state its predecessor left, until no state changes. The result is that of one
+    pass over the history, whatever the block size. States that settle inside a block need two or three rounds.
+    """
+    keys = list(keys)
+    cols = list(dict.fromkeys([*keys, idx, *inputs]))
+    names = [f.strip().split(" ")[0] for f in out_schema.split(",")]
+    rows = saved(df.select(*cols).withColumn("_blk", F.floor(F.col(idx) / size).cast("long")), "chained")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    named = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "_blk"])
+
+    def entered(pdf):
+        pdf = pdf.sort_values(idx, kind="stable").reset_index(drop=True)
+        state = pdf["_state"].iloc[0]
+        return pdf, list(zero if state is None else state)
+
+    def leave(pdf):
+        import pandas as pd
+        pdf, state = entered(pdf)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "_blk"]}, "_state": [[float(x) for x in fn(pdf, state)[1]]]})
+
+    def result(pdf):
+        pdf, state = entered(pdf)
+        res, out = fn(pdf, state)[0], pdf[[*keys, idx]].copy()
+        for n in names:
+            out[n] = res[n]
+        return out
+
+    def starts(left: DataFrame | None) -> DataFrame:
+        if left is None:
+            return rows.withColumn("_state", F.lit(None).cast("array<double>"))
+        return rows.join(left.withColumn("_blk", F.col("_blk") + 1), [*keys, "_blk"], "left")
+
+    left, seen = None, None
+    while True:
+        left = saved(starts(left).groupBy(*keys, "_blk").applyInPandas(leave, f"{named}, _state array<double>"), "states")
+        now = left.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "_blk", "_state"))).first()
+        if now == seen:
+            break
+        seen = now
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in [*keys, idx]], out_schema])
+    return starts(left).groupBy(*keys, "_blk").applyInPandas(result, schema)
+
+
 def with_kernel(df: DataFrame, fn: Callable, out_schema: str, inputs: Sequence[str], **kw) -> DataFrame:
     """``df`` with the kernel's columns joined on."""
     keys = list(kw.get("keys", KEYS))

@@ -7,12 +7,13 @@ zones come back to the bars by aggregation. Only the structure-break state machi
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import c, flag, safe_div
 from barloom.operators import features as ff
-from barloom.operators.blocks import Frame, blocked, carry_last, kernel
+from barloom.operators.blocks import BLOCK_ROWS, Frame, blocked, carry_last, chained, number_rows, spread
 from barloom.operators.calendars import equity_session, phase_code
 from barloom.operators.relate import path
 
@@ -168,10 +169,10 @@ def sweeps(d: DataFrame, reclaim: int = 1, levels=SWEEP_LEVELS) -> DataFrame:
                           "since_sweep_any": c("bar_idx") - F.greatest("_b", "_s")}).drop("_b", "_s")
 
 
-def displacement(d: DataFrame, halo: int = 2000) -> DataFrame:
-    """Large one-sided bars with volume confirmed against earlier bars of the same session phase."""
-    def build(r, w):
-        g = Frame(("symbol", "block", "phase_code"))
+def displacement(d: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """Large one-sided bars with volume confirmed against earlier bars of the same session phase, however far back those lie."""
+    def build(r, _):
+        g = Frame(("symbol", "phase_code", "block"), "_nth")
         w50, w20 = g.rows(-50, -1), g.rows(-20, -1)
         sd = F.stddev_samp("volume").over(w50)
         mean20 = F.when(F.count("volume").over(w20) >= 5, F.avg("volume").over(w20))
@@ -181,7 +182,8 @@ def displacement(d: DataFrame, halo: int = 2000) -> DataFrame:
             "volume_phase_z": F.when((F.count("volume").over(w50) >= 20) & ~same & (sd != 0), (c("volume") - F.avg("volume").over(w50)) / sd),
             "volume_phase_rel": safe_div("volume", mean20), "disp_body_to_range": safe_div(body, rng, 0.0), "disp_range_atr": safe_div(rng, "atr_14", 0.0),
             "disp_close_location": safe_div(c("close") - c("low"), rng, 0.5)})
-    r = blocked(d, build, before=halo, size=3 * halo)
+    r = number_rows(d, keys=("symbol", "phase_code"), name="_nth")
+    r = build(spread(r, 50, 0, size, "_nth"), None).filter("own").drop("block", "own", "_nth")
     strong = (c("disp_range_atr") >= 1.5) & (c("disp_body_to_range") >= 0.65) & F.coalesce(c("volume_phase_z") >= 0.5, F.lit(False))
     up, dn = (c("close") > c("open")) & strong & (c("disp_close_location") >= 0.75), (c("close") < c("open")) & strong & (c("disp_close_location") <= 0.25)
     score = (c("disp_range_atr") * 0.45 + c("disp_body_to_range") * 0.25 + F.greatest(F.coalesce("volume_phase_z", F.lit(0.0)), F.lit(0.0)) / 3.0 * 0.20
@@ -192,31 +194,30 @@ def displacement(d: DataFrame, halo: int = 2000) -> DataFrame:
     return r.withColumns({"since_disp_bull": c("bar_idx") - c("latest_bull_disp_idx"), "since_disp_bear": c("bar_idx") - c("latest_bear_disp_idx")})
 
 
-def _structure(pdf):
-    """Trend state machine over breaks of the latest confirmed swings; each swing level breaks once."""
-    n = len(pdf)
-    hi, lo, top, bot, buf = (pdf[x].to_numpy(float) for x in ("high", "low", "latest_swing_high", "latest_swing_low", "_buf"))
-    sell, buy = pdf["_rs"].to_numpy(bool), pdf["_rb"].to_numpy(bool)
-    kind, state, level = np.zeros(n, int), np.zeros(n, int), np.full(n, np.nan)
-    trend, seen_hi, seen_lo = 0, np.nan, np.nan
-    fresh = lambda x, seen, b: np.isnan(seen) or abs(x - seen) > b / 2.0
-    for i in range(n):
-        if hi[i] > top[i] + buf[i] and fresh(top[i], seen_hi, buf[i]):
-            level[i], kind[i] = top[i], (3 if sell[i] else 2) if trend == -1 else 1
-            trend, seen_hi = 1, top[i]
-        elif lo[i] < bot[i] - buf[i] and fresh(bot[i], seen_lo, buf[i]):
-            level[i], kind[i] = bot[i], -((3 if buy[i] else 2) if trend == 1 else 1)
-            trend, seen_lo = -1, bot[i]
-        state[i] = trend
-    return {"break_kind": kind, "structure_state": state, "structure_break_level": level}
-
-
-def structure_breaks(d: DataFrame, weeks: int = 26) -> DataFrame:
-    """BOS (kind 1), CHoCH (2) and sweep-confirmed shift (3), positive when bullish."""
+def _structure(pdf, state):
+    """Trend over breaks of the latest confirmed swings; each swing level breaks once. Only bars beyond a level are visited."""
+    trend, *seen = state
+    high, low, top, bottom, buf = (pdf[x].to_numpy(float) for x in ("high", "low", "latest_swing_high", "latest_swing_low", "_buf"))
+    swept = {1: pdf["_rs"].to_numpy(bool), -1: pdf["_rb"].to_numpy(bool)}
+    beyond = {1: high > top + buf, -1: low < bottom - buf}
+    levels, kind, level = {1: top, -1: bottom}, np.zeros(len(pdf), int), np.full(len(pdf), np.nan)
+    for i in np.flatnonzero(beyond[1] | beyond[-1]).tolist():
+        for side, k in ((1, 0), (-1, 1)):
+            x = levels[side][i]
+            if beyond[side][i] and not abs(x - seen[k]) <= buf[i] / 2.0:
+                kind[i] = side * (1 if trend != -side else 3 if swept[side][i] else 2)
+                level[i], trend, seen[k] = x, side, x
+                break
+    last = pd.Series(np.where(kind != 0, np.sign(kind), np.nan)).ffill().fillna(state[0])
+    return {"break_kind": kind, "structure_state": last.to_numpy(int), "structure_break_level": level}, [trend, *seen]
+
+
+def structure_breaks(d: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """BOS (kind 1), CHoCH (2) and sweep-confirmed shift (3), positive when bullish; the state runs through the whole history."""
     src = d.withColumns({"_buf": F.greatest(F.coalesce("atr_14", F.lit(0.0)) * 0.05, F.lit(TICK)),
                          "_rs": F.coalesce(c("since_sell_sweep") <= 3, F.lit(False)), "_rb": F.coalesce(c("since_buy_sweep") <= 3, F.lit(False))})
-    k = kernel(src, _structure, "break_kind int, structure_state int, structure_break_level double",
-               ["high", "low", "latest_swing_high", "latest_swing_low", "_buf", "_rs", "_rb"], weeks=weeks)
+    k = chained(src, _structure, [0.0, float("nan"), float("nan")], "break_kind int, structure_state int, structure_break_level double",
+                ["high", "low", "latest_swing_high", "latest_swing_low", "_buf", "_rs", "_rb"], size)
     b = d.join(k, ["symbol", "bar_idx"])
     b = b.withColumn("structure_break_level", F.when(~F.isnan("structure_break_level"), c("structure_break_level")))
     kk = c("break_kind")

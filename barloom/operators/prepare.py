@@ -97,13 +97,17 @@ def robust_scale(df: DataFrame, names: list[str], fit) -> DataFrame:
     return d.withColumns({f"{n}_scaled": (c(n) - c(f"_q_{n}")[1]) / F.when(iqr(n) != 0, iqr(n)).otherwise(1.0) for n in names}).drop(*[f"_q_{n}" for n in names])
 
 
-def walk_forward(df: DataFrame, first: int, step: int, purge: int, folds: int, idx: str = "bar_idx") -> DataFrame:
-    """Expanding training span, purged gap, fixed validation span; a row appears once per fold it takes part in."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
-    d = df.select("*", k)
-    start = first + step * c("fold")
-    role = F.when(c(idx) < start - purge, "train").when((c(idx) >= start) & (c(idx) < start + step), "val")
-    return d.withColumn("role", role).filter("role is not null")
+def walk_forward(df: DataFrame, first_share: float, purge: int, folds: int, idx: str = "bar_idx") -> DataFrame:
+    """Expanding training span, purged gap, validation span; a row appears once per fold it takes part in.
+
+    Validation starts after ``first_share`` of the table's length and its ``folds`` spans cover the rest, so every later row is validated once.
+    """
+    ends = df.agg(F.max(idx).alias("_n")).select((c("_n") + 1).alias("_n"))  # one row
+    d = df.crossJoin(F.broadcast(ends)).withColumn("_first", F.floor(c("_n") * first_share))
+    d = d.withColumn("_step", F.greatest(F.ceil((c("_n") - c("_first")) / folds), F.lit(1))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    start = c("_first") + c("_step") * c("fold")
+    role = F.when(c(idx) < start - purge, "train").when((c(idx) >= start) & (c(idx) < start + c("_step")), "val")
+    return d.withColumn("role", role).filter("role is not null").drop("_n", "_first", "_step")
 
 
 def calibrate(scored: DataFrame, fit) -> DataFrame:

@@ -84,18 +84,17 @@ def parabolic(high, low, step: float = 0.02, top: float = 0.2):
     return stop, trend
 
 
-def cusum(close, threshold) -> np.ndarray:
-    """Symmetric log-return CUSUM; both sums reset when either side passes the bar's threshold (+1 up, -1 down)."""
-    x, thr = np.asarray(close, float), np.asarray(threshold, float)
-    out = np.zeros(len(x), int)
-    pos = neg = 0.0
-    for i in range(1, len(x)):
-        r = np.log(x[i] / x[i - 1]) if x[i] > 0 and x[i - 1] > 0 else 0.0
-        pos, neg = max(0.0, pos + r), min(0.0, neg + r)
-        if np.isnan(thr[i]):
-            continue
-        if pos > thr[i]:
-            out[i], pos, neg = 1, 0.0, 0.0
-        elif neg < -thr[i]:
-            out[i], pos, neg = -1, 0.0, 0.0
-    return out
+def cusum(close, threshold, before, state):
+    """Symmetric log-return CUSUM: both sums reset when either side reaches the bar's threshold (+1 up, -1 down); a bar without a positive
+    threshold is passed over. ``before`` is the close of the bar before; returns the signs and the sums left at the end."""
+    thr = np.asarray(threshold, float)
+    with np.errstate(all="ignore"):
+        step = np.log(np.asarray(close, float) / np.asarray(before, float))
+    out = np.zeros(len(thr), int)
+    pos, neg = state
+    for i in np.flatnonzero((thr > 0) & np.isfinite(step)).tolist():
+        pos, neg = max(0.0, pos + step[i]), min(0.0, neg + step[i])
+        if pos >= thr[i] or neg <= -thr[i]:
+            out[i] = 1 if pos >= thr[i] else -1
+            pos = neg = 0.0
+    return out, [pos, neg]

@@ -197,11 +197,13 @@ def _(m):
     return events(m).groupBy("family", "side").agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(b), ["family", "side"], "left")
 
 
-@query("outcome12_walk_forward_backtest", "fold:l model_id:s threshold emitted:l gain", f"""SELECT f.k AS fold, t.model_id, t.threshold, count(*) FILTER (p.probability >= t.threshold) AS emitted, coalesce(sum(p.gain) FILTER (p.probability >= t.threshold), 0) AS gain FROM (VALUES (0), (1), (2)) f(k) JOIN (
- SELECT k, model_id, arg_max(threshold, (round(e, 9), -threshold)) AS threshold FROM (SELECT k, model_id, threshold, avg(gain) FILTER (probability >= threshold) AS e, count(*) FILTER (probability >= threshold) AS n FROM pred CROSS JOIN (VALUES (0), (1), (2)) f(k) CROSS JOIN (SELECT unnest({GRID}) AS threshold) WHERE bar_idx < 276 + 100 * k GROUP BY 1, 2, 3) WHERE n >= 20 GROUP BY 1, 2) t ON t.k = f.k
- JOIN pred p ON p.model_id = t.model_id AND p.bar_idx BETWEEN 300 + 100 * f.k AND 399 + 100 * f.k GROUP BY 1, 2, 3""")
+@query("outcome12_walk_forward_backtest", "fold:l model_id:s threshold emitted:l gain", f"""WITH z AS (SELECT k, a + w * k AS s, a + w * (k + 1) AS e FROM (SELECT a, CAST(ceil((n - a) / 3.0) AS BIGINT) AS w FROM (
+ SELECT n, CAST(floor(n * 0.4) AS BIGINT) AS a FROM (SELECT max(bar_idx) + 1 AS n FROM pred))) CROSS JOIN (VALUES (0), (1), (2)) f(k))
+ SELECT z.k AS fold, t.model_id, t.threshold, count(*) FILTER (p.probability >= t.threshold) AS emitted, coalesce(sum(p.gain) FILTER (p.probability >= t.threshold), 0) AS gain FROM z JOIN (
+ SELECT k, model_id, arg_max(threshold, (round(e, 9), -threshold)) AS threshold FROM (SELECT z.k, model_id, threshold, avg(gain) FILTER (probability >= threshold) AS e, count(*) FILTER (probability >= threshold) AS n FROM pred CROSS JOIN z CROSS JOIN (SELECT unnest({GRID}) AS threshold) WHERE bar_idx < z.s - 24 GROUP BY 1, 2, 3) WHERE n >= 20 GROUP BY 1, 2) t ON t.k = z.k
+ JOIN pred p ON p.model_id = t.model_id AND p.bar_idx >= z.s AND p.bar_idx < z.e GROUP BY 1, 2, 3""")
 def _(m):
-    f = pr.walk_forward(predictions(m), 300, 100, 24, 3)
+    f = pr.walk_forward(predictions(m), 0.4, 24, 3)
     tr = mt.threshold_grid(f.filter("role = 'train'"), GRID, [["fold", "model_id"]]).filter("emitted >= 20")
     best = tr.groupBy(c("fold").cast("int").alias("fold"), "model_id").agg(F.max_by("threshold", F.struct(F.round("expectancy", 9), -c("threshold"))).alias("threshold"))
     te = f.filter("role = 'val'").join(best, ["fold", "model_id"])

@@ -11,7 +11,7 @@ from barloom.operators import labels as lb
 from barloom.operators import metrics as mt
 from barloom.operators import outcomes as oc
 from barloom.operators import resample
-from barloom.operators.blocks import blocked, carry_last, kernel, number_rows, week_anchor, weekly_spread, with_kernel
+from barloom.operators.blocks import blocked, carry_last, chained, kernel, number_rows, week_anchor, weekly_spread, with_kernel
 from barloom.operators.recursive import cusum
 from barloom.operators.relate import asof
 from barloom.operators.select import spine
@@ -142,12 +142,18 @@ def _(m):
     return blocked(ff.with_smooth(m.bars()), build, before=200)
 
 
-@query("dt14_cusum_events", KEY + "cusum:l", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT symbol, bar_idx, ln(close / {s_lag('close')}) AS r, {s_mean('close_return_1', 20)} IS NULL AS nothr, 1.5 * rolling_vol_20 AS thr FROM vol),
- q AS (SELECT symbol, bar_idx, 0.0::DOUBLE AS p, 0.0::DOUBLE AS n, 0 AS cusum FROM t WHERE bar_idx = 0 UNION ALL SELECT t.symbol, t.bar_idx, CASE WHEN greatest(0, q.p + t.r) > t.thr OR least(0, q.n + t.r) < -t.thr THEN 0.0 ELSE greatest(0, q.p + t.r) END,
- CASE WHEN greatest(0, q.p + t.r) > t.thr OR least(0, q.n + t.r) < -t.thr THEN 0.0 ELSE least(0, q.n + t.r) END, CASE WHEN greatest(0, q.p + t.r) > t.thr THEN 1 WHEN least(0, q.n + t.r) < -t.thr THEN -1 ELSE 0 END FROM q JOIN t ON t.symbol = q.symbol AND t.bar_idx = q.bar_idx + 1) SELECT * FROM q""")
+@query("dt14_cusum_events", KEY + "cusum:l", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT symbol, bar_idx, ln(close / {s_lag('close')}) AS r, 1.5 * rolling_vol_20 AS thr FROM vol),
+ a AS MATERIALIZED (SELECT *, coalesce(thr > 0, false) AND r IS NOT NULL AS live FROM t),
+ q AS (SELECT symbol, bar_idx, 0.0::DOUBLE AS p, 0.0::DOUBLE AS n, 0 AS cusum FROM a WHERE bar_idx = 0 UNION ALL
+ SELECT symbol, bar_idx, CASE WHEN live AND s <> 0 THEN 0.0 WHEN live THEN pp ELSE p END, CASE WHEN live AND s <> 0 THEN 0.0 WHEN live THEN nn ELSE n END, CASE WHEN live THEN s ELSE 0 END FROM (
+ SELECT a.symbol, a.bar_idx, a.live, q.p, q.n, greatest(0, q.p + a.r) AS pp, least(0, q.n + a.r) AS nn, CASE WHEN greatest(0, q.p + a.r) >= a.thr THEN 1 WHEN least(0, q.n + a.r) <= -a.thr THEN -1 ELSE 0 END AS s
+ FROM q JOIN a ON a.symbol = q.symbol AND a.bar_idx = q.bar_idx + 1)) SELECT * FROM q""")
 def _(m):
-    d = blocked(m.bars(), ff.volatility, before=61).withColumn("thr", 1.5 * c("rolling_vol_20"))
-    return kernel(d, lambda p: {"cusum": cusum(p["close"], p["thr"].astype(float))}, "cusum int", ["close", "thr"], weeks=26)
+    def run(p, state):
+        signs, left = cusum(p["close"], p["thr"].astype(float), p["before"].astype(float), state)
+        return {"cusum": signs}, left
+    d = blocked(m.bars(), lambda r, w: ff.volatility(r, w).withColumn("before", w.lag("close")), before=61).withColumn("thr", 1.5 * c("rolling_vol_20"))
+    return chained(d, run, [0.0, 0.0], "cusum int", ["close", "thr", "before"])
 
 
 @query("dt16_breakout_events", KEY + "side:l accepted:l", None)

@@ -288,9 +288,11 @@ def _(m):
     return pr.robust_scale(m.bars(), ["close"], c("bar_idx") < 400)
 
 
-@query("ml06_purged_walk_forward", "symbol:s fold:l role:s rows:l", """SELECT b.symbol, k AS fold, CASE WHEN bar_idx < 200 + 100 * k - 24 THEN 'train' ELSE 'val' END AS role, count(*) AS rows FROM bars b CROSS JOIN (VALUES (0), (1), (2), (3)) f(k) WHERE bar_idx < 200 + 100 * k - 24 OR bar_idx BETWEEN 200 + 100 * k AND 299 + 100 * k GROUP BY 1, 2, 3""")
+@query("ml06_purged_walk_forward", "symbol:s fold:l role:s rows:l", """SELECT b.symbol, k AS fold, CASE WHEN bar_idx < a + w * k - 24 THEN 'train' ELSE 'val' END AS role, count(*) AS rows FROM bars b
+ CROSS JOIN (SELECT a, CAST(ceil((n - a) / 4.0) AS BIGINT) AS w FROM (SELECT n, CAST(floor(n * 0.3) AS BIGINT) AS a FROM (SELECT max(bar_idx) + 1 AS n FROM bars))) CROSS JOIN (VALUES (0), (1), (2), (3)) f(k)
+ WHERE bar_idx < a + w * k - 24 OR (bar_idx >= a + w * k AND bar_idx < a + w * (k + 1)) GROUP BY 1, 2, 3""")
 def _(m):
-    return pr.walk_forward(m.bars(), 200, 100, 24, 4).groupBy("symbol", "fold", "role").agg(F.count(F.lit(1)).alias("rows"))
+    return pr.walk_forward(m.bars(), 0.3, 24, 4).groupBy("symbol", "fold", "role").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("ml12_recency_weights", KEY + "weight", "SELECT b.symbol, b.bar_idx, greatest(0.2, 0.5 ^ ((mx - bar_idx) / 200.0)) AS weight FROM bars b JOIN (SELECT symbol, max(bar_idx) AS mx FROM bars GROUP BY 1) USING (symbol)")

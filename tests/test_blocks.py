@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.operators import features as ff
-from barloom.operators.blocks import blocked, carry_last, kernel, number_rows, running, weekly_spread
+from barloom.operators.blocks import blocked, carry_last, chained, kernel, number_rows, running, weekly_spread
 from barloom.operators.relate import asof
 from barloom.operators.recursive import smooth, SMOOTH
 
@@ -85,3 +85,64 @@ def test_asof_across_chunks(spark):
             lim = r.bar_idx - 1 if strict else r.bar_idx
             want = (lim - 5) // 90 * 90 + 5 if lim >= 5 else None
             assert r.ri == want
+
+
+SIZES = (64, 500, 10 ** 6)
+
+
+def same_for_all_sizes(f, cols):
+    first, *others = [rows(f(size), cols) for size in SIZES]
+    assert any(v is not None for r in first for v in r[2:])
+    assert all(o == first for o in others)
+
+
+def test_core_families_do_not_depend_on_blocks(spark):
+    b = number_rows(series(spark)).cache()
+    same_for_all_sizes(lambda n: ff.core(b, (ff.exhaustion,), size=n), ["bars_since_sweep_high", "latest_swing_low", "bars_since_bullish_divergence", "bullish_divergence_strength"])
+    same_for_all_sizes(lambda n: ff.core(b, (ff.session, ff.temporal), size=n), ["bars_since_last_sweep", "bars_since_last_displacement", "bull_sequence_sweep_displacement", "major_event_density_25"])
+    same_for_all_sizes(lambda n: ff.core(b, (ff.pullback,), size=n), ["continuation_bars_since_bull_impulse", "continuation_bull_pullback_depth_atr", "continuation_bars_since_bear_resume"])
+
+
+def test_rare_events_keep_their_age(spark):
+    b = number_rows(series(spark)).cache()
+    far = rows(ff.ages(b, {"age": F.col("bar_idx") == 3}, 64), ["age"])
+    assert all(r[2] == (None if r[1] < 3 else r[1] - 3) for r in far)
+
+
+def test_state_machines_run_through_all_blocks(spark):
+    from barloom.operators import patterns as pt
+    b = number_rows(series(spark)).cache()
+    d = pt.with_swings(b).withColumns({"since_sell_sweep": F.col("bar_idx") % 7, "since_buy_sweep": F.col("bar_idx") % 5}).cache()
+    same_for_all_sizes(lambda n: pt.structure_breaks(d, n), ["break_kind", "structure_state", "structure_break_level"])
+    once = b.withColumn("jump", F.when(F.col("bar_idx") == 10, 1.0).otherwise(0.0))
+    hold = chained(once, lambda p, s: ({"on": [1 if x else 0 for x in (p["jump"].cumsum() + s[0])]}, [s[0] + p["jump"].sum()]), [0.0], "on int", ["jump"], size=64)
+    assert all(r[2] == int(r[1] >= 10) for r in rows(hold, ["on"]))
+
+
+def test_phase_statistics_reach_rare_phases(spark):
+    from barloom.operators import patterns as pt
+    b = blocked(number_rows(series(spark)), ff.volatility, before=61).withColumn("phase_code", F.when(F.col("bar_idx") % 29 == 0, 1).otherwise(0)).cache()
+    same_for_all_sizes(lambda n: pt.displacement(b, n), ["volume_phase_z", "volume_phase_rel", "disp_score"])
+
+
+def test_ranking_compares_scores_in_full(spark):
+    from barloom.operators.metrics import ranking
+    d = spark.range(2000).select(F.lit("m").alias("model_id"), (0.5 + F.col("id") * 1e-9).alias("probability"), F.when(F.col("id") >= 1000, 1).otherwise(0).alias("target"))
+    for size in (64, 500, 4096):
+        r = ranking(d, size=size).first()
+        assert (r.average_precision, r.roc_auc) == (1.0, 1.0)
+
+
+def test_trades_that_start_together_are_admitted_once(spark):
+    from barloom.operators.labels import admit
+    t = spark.createDataFrame([("A", 1, 10, "x"), ("A", 1, 5, "y"), ("A", 7, 9, "z"), ("B", 1, 3, "x")], "symbol string, bar_idx long, exit_idx long, family string")
+    got = sorted((r.symbol, r.bar_idx, r.exit_idx) for r in admit(t).filter("admitted = 1").collect())
+    assert got == [("A", 1, 5), ("A", 7, 9), ("B", 1, 3)]
+
+
+def test_folds_cover_the_table(spark):
+    from barloom.operators.prepare import walk_forward
+    for n in (100, 13_000):
+        f = walk_forward(spark.range(n).withColumnRenamed("id", "bar_idx"), 0.3, 5, 4)
+        val = sorted(r.bar_idx for r in f.filter("role = 'val'").collect())
+        assert val == list(range(int(n * 0.3), n))
