@@ -202,21 +202,21 @@ def kernel(df: DataFrame, fn: Callable, out_schema: str, inputs: Sequence[str],
 
 
 def chained(df: DataFrame, fn: Callable, zero: Sequence[float], out_schema: str, inputs: Sequence[str], size: int = BLOCK_ROWS, idx: str = "bar_idx",
-            keys: Sequence[str] = KEYS) -> DataFrame:
-    """State machine over the whole history, block by block: ``fn(pdf sorted by idx, state) -> (dict of arrays, state)``.
+            keys: Sequence[str] = KEYS, then: Sequence[str] = ()) -> DataFrame:
+    """State machine over the whole history, block by block: ``fn(pdf sorted by idx and then, state) -> (dict of arrays, state)``.
 
     Every block first runs from ``zero``; then each starts from the state its predecessor left, until no state changes. The result is that of one
     pass over the history, whatever the block size. States that settle inside a block need two or three rounds.
     """
     keys = list(keys)
-    cols = list(dict.fromkeys([*keys, idx, *inputs]))
+    cols = list(dict.fromkeys([*keys, idx, *then, *inputs]))
     names = [f.strip().split(" ")[0] for f in out_schema.split(",")]
     rows = saved(df.select(*cols).withColumn("_blk", F.floor(F.col(idx) / size).cast("long")), "chained")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     named = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "_blk"])
 
     def entered(pdf):
-        pdf = pdf.sort_values(idx, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values([idx, *then], kind="stable").reset_index(drop=True)
         state = pdf["_state"].iloc[0]
         return pdf, list(zero if state is None else state)
 

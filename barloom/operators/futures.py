@@ -53,14 +53,17 @@ def roll_events(cbars: DataFrame, schedule: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("session_close")
     rolls = schedule.withColumn("from_contract", F.lag("lead_contract").over(w)).filter("is_roll = 1").select(
         "symbol", c("session_start").alias("effective_from"), "session_close", "from_contract", c("lead_contract").alias("to_contract"))
-    span = Window.partitionBy("symbol").orderBy("session_close")
+    pair, span = ["symbol", "from_contract", "to_contract"], Window.partitionBy("symbol").orderBy("session_close")
     px = cbars.select("symbol", "ts", "contract_id", "close")
     a = px.withColumnRenamed("contract_id", "from_contract").withColumnRenamed("close", "from_price")
     b = px.withColumnRenamed("contract_id", "to_contract").withColumnRenamed("close", "to_price")
-    pairs = a.join(b, ["symbol", "ts"]).filter("from_contract <> to_contract")
-    first = (rolls.join(pairs, ["symbol", "from_contract", "to_contract"]).filter("ts >= effective_from")
-             .groupBy("symbol", "effective_from", "session_close", "from_contract", "to_contract").agg(F.min(F.struct("ts", "from_price", "to_price")).alias("f")))
-    d = first.select("symbol", "session_close", "effective_from", "from_contract", "to_contract", c("f.ts").alias("spread_ts"), (c("f.to_price") - c("f.from_price")).alias("roll_spread"))
+    shared = a.join(rolls.select(*pair).distinct(), ["symbol", "from_contract"]).join(b, ["symbol", "ts", "to_contract"])  # only pairs that roll into each other
+    # rolls and shared bars on one time line per pair; a roll looks ahead to the first shared bar at or after it
+    line = (shared.select(*pair, "ts", F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("session_close"), F.struct("ts", "from_price", "to_price").alias("p"))
+            .unionByName(rolls.select(*pair, c("effective_from").alias("ts"), F.lit(0).alias("kind"), "session_close"), allowMissingColumns=True))
+    ahead = Window.partitionBy(*pair).orderBy("ts", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first = line.withColumn("f", F.first("p", True).over(ahead)).filter("kind = 0 AND f IS NOT NULL")
+    d = first.select("symbol", "session_close", c("ts").alias("effective_from"), "from_contract", "to_contract", c("f.ts").alias("spread_ts"), (c("f.to_price") - c("f.from_price")).alias("roll_spread"))
     return d.withColumn("cumulative_spread", F.sum("roll_spread").over(span.rowsBetween(Window.unboundedPreceding, 0)))
 
 

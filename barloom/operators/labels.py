@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import c, flag
-from barloom.operators.blocks import running
+from barloom.operators.blocks import BLOCK_ROWS, chained, running
 from barloom.operators.relate import path
 
 
@@ -62,44 +62,31 @@ def islands(df: DataFrame, cond_new: Column, keys=("symbol",), order: str = "bar
     return running(df, sums={name: flag(cond_new)}, keys=keys, order=order, size=size)
 
 
-def cooldown(events: DataFrame, bars_apart: int, keys=("symbol",), idx: str = "bar_idx") -> DataFrame:
-    """Greedy thinning: keep an event more than ``bars_apart`` after the last kept one.
+def cooldown(events: DataFrame, bars_apart: int, keys=("symbol",), idx: str = "bar_idx", size: int = BLOCK_ROWS) -> DataFrame:
+    """Greedy thinning: keep an event more than ``bars_apart`` after the last kept one. The last kept position is the state of a block chain."""
+    def run(p, state):
+        last, taken = state[0], []
+        for v in p[idx].tolist():
+            taken.append(int(not v - last <= bars_apart))
+            last = v if taken[-1] else last
+        return {"accepted": taken}, [last]
+    kept = chained(events.select(*keys, idx).distinct(), run, [float("nan")], "accepted int", [], size, idx, keys)
+    return events.join(kept, [*keys, idx])
 
-    An event further than that from its predecessor is always kept, so runs between such breaks are independent groups.
-    """
-    w = Window.partitionBy(*keys, "_b").orderBy(idx)
-    size = 4096
-    e = events.withColumn("_b", F.floor(c(idx) / size))
-    ends = e.groupBy(*keys, "_b").agg(F.max(idx).alias("_m"))
-    back = ends.select(*keys, "_b", F.lag("_m").over(Window.partitionBy(*keys).orderBy("_b")).alias("_pm"))
-    e = e.join(back, [*keys, "_b"]).withColumn("_prev", F.coalesce(F.lag(idx).over(w), "_pm")).drop("_b", "_pm")
-    e = islands(e, c("_prev").isNull() | (c(idx) - c("_prev") > bars_apart), keys, idx, "_run")
-    runs = e.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(idx)).alias("_all"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-
-    def step(a, v):
-        take = a["last"].isNull() | (v - a["last"] > bars_apart)
-        return F.struct(F.when(take, v).otherwise(a["last"]).alias("last"), F.when(take, F.concat(a["kept"], F.array(v))).otherwise(a["kept"]).alias("kept"))
-    kept = runs.select(*keys, F.explode(F.aggregate("_all", zero, step)["kept"]).alias(idx))
-    return e.drop("_prev", "_run").join(kept.withColumn("accepted", F.lit(1)), [*keys, idx], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
-
-
-def admit(trades: DataFrame, keys=("symbol",), start: str = "bar_idx", end: str = "exit_idx", size: int = 4096) -> DataFrame:
+
+def admit(trades: DataFrame, keys=("symbol",), start: str = "bar_idx", end: str = "exit_idx", size: int = BLOCK_ROWS) -> DataFrame:
     """One open position at a time: a trade is taken only after the last taken one has exited.
 
-    Trades that start after every earlier exit open a new independent run; only overlapping runs are folded, by start, exit and a hash of the row,
-    so of trades that start together one is taken. Rows equal in every column count as one trade.
+    Trades go by start, exit and a hash of the row, so of those that start together one is taken; rows equal in every column count as one trade.
+    An open trade (null exit) blocks all later ones.
     """
     trades = trades.withColumn("_id", F.xxhash64(*trades.columns))
-    t = running(trades, maxs={"_far": c(end)}, keys=keys, order=start, size=size)
-    from barloom.operators.blocks import carry_last
-    t = carry_last(t, {"_before": c("_far")}, keys=keys, order=start, size=size, strict=True)
-    t = islands(t, c("_before").isNull() | (c(start) > c("_before")), keys, start, "_run", size)
-    runs = t.groupBy(*keys, "_run").agg(F.array_sort(F.collect_set(F.struct(c(start).alias("a"), c(end).alias("b"), "_id"))).alias("_all"))
-    zero = F.struct(F.lit(None).cast("long").alias("free"), F.array().cast("array<long>").alias("kept"))
-
-    def step(s, v):
-        take = s["free"].isNull() | (v["a"] > s["free"])
-        return F.struct(F.when(take, v["b"].cast("long")).otherwise(s["free"]).alias("free"), F.when(take, F.concat(s["kept"], F.array(v["_id"]))).otherwise(s["kept"]).alias("kept"))
-    kept = runs.select(*keys, F.explode(F.aggregate("_all", zero, step)["kept"]).alias("_id"), F.lit(1).alias("admitted"))
-    return t.drop("_far", "_before", "_run").join(kept, [*keys, "_id"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(0))).drop("_id")
+
+    def run(p, state):
+        free, taken = state[0], []
+        for a, b in zip(p[start].tolist(), p[end].tolist()):
+            taken.append(int(not a <= free))
+            free = (float("inf") if b != b or b is None else b) if taken[-1] else free
+        return {"admitted": taken, "_id": p["_id"]}, [free]
+    kept = chained(trades.select(*keys, start, end, "_id").distinct(), run, [float("nan")], "admitted int, _id long", [end], size, start, keys, [end, "_id"])
+    return trades.join(kept.select(*keys, "_id", "admitted"), [*keys, "_id"]).drop("_id")

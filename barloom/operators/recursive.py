@@ -43,45 +43,35 @@ def wilder_atr(n: int = 14):
     return lambda pdf: {"satr": ewm(true_range(pdf), 1.0 / n, n)}
 
 
-def kama(close, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    """Adaptive average seeded with the first close that has a full efficiency window."""
-    x = np.asarray(close, float)
-    out = np.full(len(x), np.nan)
-    step = np.abs(np.diff(x, prepend=x[:1]))
-    vol = pd.Series(step).rolling(n).sum().to_numpy()
-    for i in range(n, len(x)):
-        er = abs(x[i] - x[i - n]) / vol[i] if vol[i] > 0 else 0.0
-        sc = (er * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-        prev = out[i - 1] if not np.isnan(out[i - 1]) else x[i - 1]
-        out[i] = prev + sc * (x[i] - prev)
-    return out
-
-
-def parabolic(high, low, step: float = 0.02, top: float = 0.2):
-    """Parabolic stop and trend (+1 / -1)."""
-    h, lo = np.asarray(high, float), np.asarray(low, float)
-    n = len(h)
-    stop, trend = np.full(n, np.nan), np.zeros(n, int)
-    if n == 0:
-        return stop, trend
-    up, af, ep, sar = True, step, h[0], lo[0]
-    stop[0], trend[0] = sar, 1
-    for i in range(1, n):
-        sar = sar + af * (ep - sar)
-        if up:
-            sar = min(sar, lo[i - 1], lo[i - 2] if i > 1 else lo[i - 1])
-            if lo[i] < sar:
-                up, sar, ep, af = False, ep, lo[i], step
-            elif h[i] > ep:
-                ep, af = h[i], min(af + step, top)
+def adaptive(close, before, weight, state):
+    """Average that moves to each close by the bar's weight, from the close before the first weighted bar on."""
+    out, last = np.full(len(close), np.nan), state[0]
+    for i, (x, prev, w) in enumerate(zip(close, before, weight)):
+        if w == w:
+            last = prev if last != last else last
+            out[i] = last = last + w * (x - last)
+    return out, [last]
+
+
+def parabolic(bars, state, step: float = 0.02, top: float = 0.2):
+    """Parabolic stop and trend (+1 / -1). ``bars``: high, low and the highs and lows of the two bars before; state: side, factor, extreme, stop."""
+    side, factor, extreme, stop = state
+    stops, sides = [], []
+    for high, low, h1, h2, l1, l2 in bars:
+        if side != side:  # first bar
+            side, factor, extreme, stop = 1.0, step, high, low
         else:
-            sar = max(sar, h[i - 1], h[i - 2] if i > 1 else h[i - 1])
-            if h[i] > sar:
-                up, sar, ep, af = True, ep, h[i], step
-            elif lo[i] < ep:
-                ep, af = lo[i], min(af + step, top)
-        stop[i], trend[i] = sar, 1 if up else -1
-    return stop, trend
+            stop += factor * (extreme - stop)
+            near = [x for x in ((l1, l2) if side > 0 else (h1, h2)) if x == x]
+            stop = min(stop, *near) if side > 0 else max(stop, *near)
+            far, back = (high, low) if side > 0 else (low, high)
+            if side * (back - stop) < 0:
+                side, stop, extreme, factor = -side, extreme, back, step
+            elif side * (far - extreme) > 0:
+                extreme, factor = far, min(factor + step, top)
+        stops.append(stop)
+        sides.append(int(side))
+    return stops, sides, [side, factor, extreme, stop]
 
 
 def cusum(close, threshold, before, state):

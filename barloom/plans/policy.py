@@ -156,7 +156,9 @@ def _(m):
     return chained(d, run, [0.0, 0.0], "cusum int", ["close", "thr", "before"])
 
 
-@query("dt16_breakout_events", KEY + "side:l accepted:l", None)
+@query("dt16_breakout_events", KEY + "side:l accepted:l", """WITH RECURSIVE e AS MATERIALIZED (SELECT symbol, side, bar_idx, row_number() OVER (PARTITION BY symbol, side ORDER BY bar_idx) AS rn FROM ev WHERE family = 'breakout'),
+ r AS (SELECT symbol, side, bar_idx, rn, bar_idx AS kept, 1 AS accepted FROM e WHERE rn = 1 UNION ALL SELECT e.symbol, e.side, e.bar_idx, e.rn, CASE WHEN e.bar_idx - r.kept > 12 THEN e.bar_idx ELSE r.kept END,
+ CASE WHEN e.bar_idx - r.kept > 12 THEN 1 ELSE 0 END FROM r JOIN e ON e.symbol = r.symbol AND e.side = r.side AND e.rn = r.rn + 1) SELECT * FROM r""")
 def _(m):
     return lb.cooldown(events(m).filter("family = 'breakout'"), 12, ("symbol", "side"))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from barloom.functions.cols import c
 from barloom.operators import features as ff
 from barloom.operators import strategies as st
-from barloom.operators.blocks import blocked, kernel
-from barloom.operators.recursive import kama, parabolic
-from barloom.plans.registry import (S, TR, query, s_div, s_flag, s_lag, s_max, s_mean, s_min, s_std, s_sum)
+from barloom.operators.blocks import blocked, chained
+from barloom.operators.recursive import adaptive, parabolic
+from barloom.plans.registry import (S, TR, over, query, s_div, s_flag, s_lag, s_max, s_mean, s_min, s_std, s_sum)
 
 KEY = "symbol:s bar_idx:l "
 
@@ -51,9 +51,24 @@ def _(m):
     return run(m, st.envelope, 20)
 
 
-@query("ts02_adaptive_average", KEY + "kama kama_signal:s")
+_FAST, _SLOW = 2.0 / 3.0, 2.0 / 31.0
+
+
+@query("ts02_adaptive_average", KEY + "kama kama_signal:s", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT symbol, bar_idx, close, {s_lag('close')} AS pv, CASE WHEN bar_idx >= 10 THEN
+ pow(CASE WHEN v > 0 THEN abs(close - c10) / v ELSE 0.0 END * {_FAST - _SLOW!r}::DOUBLE + {_SLOW!r}::DOUBLE, 2) END AS w FROM (SELECT *, {s_lag('close', 10)} AS c10, sum(d) {over(10)} AS v FROM (
+ SELECT *, abs(close - {s_lag('close')}) AS d FROM bars))), k AS (SELECT symbol, bar_idx, close, CAST(NULL AS DOUBLE) AS kama FROM t WHERE bar_idx = 0 UNION ALL
+ SELECT t.symbol, t.bar_idx, t.close, CASE WHEN t.w IS NOT NULL THEN coalesce(k.kama, t.pv) + t.w * (t.close - coalesce(k.kama, t.pv)) END FROM k JOIN t ON t.symbol = k.symbol AND t.bar_idx = k.bar_idx + 1)
+ SELECT *, {sd('close > kama', 'close < kama')} AS kama_signal FROM k""")
 def _(m):
-    k = kernel(m.bars(), lambda p: {"kama": kama(p["close"]), "x": p["close"]}, "kama double, x double", ["close"], weeks=26)
+    def weigh(d, w):
+        d = d.withColumns({"before": w.lag("close"), "_d": F.abs(c("close") - w.lag("close"))})
+        er = F.when(w.sum("_d", 10) > 0, F.abs(c("close") - w.lag("close", 10)) / w.sum("_d", 10)).otherwise(0.0)
+        return d.withColumn("weight", F.when(c("bar_idx") >= 10, F.pow(er * (_FAST - _SLOW) + _SLOW, F.lit(2.0)))).drop("_d")
+
+    def run_(p, state):
+        out, left = adaptive(p["close"].tolist(), p["before"].astype(float).tolist(), p["weight"].astype(float).tolist(), state)
+        return {"kama": out, "x": p["close"]}, left
+    k = chained(blocked(m.bars(), weigh, before=11), run_, [float("nan")], "kama double, x double", ["close", "before", "weight"])
     return k.withColumns({"kama": F.when(~F.isnan("kama"), c("kama"))}).withColumn("kama_signal", st.side(c("x") > c("kama"), c("x") < c("kama")))
 
 
@@ -168,12 +183,25 @@ def _(m):
     return run(m, st.exits, 20)
 
 
-@query("ts17_parabolic_stop", KEY + "stop trend:l")
+_PSAR_NEXT = "r.stop + r.af * (r.ep - r.stop)"
+
+
+@query("ts17_parabolic_stop", KEY + "stop trend:l", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT symbol, bar_idx, high, low, greatest({s_lag('high')}, {s_lag('high', 2)}) AS ph, least({s_lag('low')}, {s_lag('low', 2)}) AS pl FROM bars),
+ r AS (SELECT symbol, bar_idx, 1 AS trend, 0.02::DOUBLE AS af, high AS ep, low AS stop FROM t WHERE bar_idx = 0 UNION ALL
+ SELECT symbol, bar_idx, CASE WHEN flip THEN -trend ELSE trend END, CASE WHEN flip THEN 0.02 WHEN more THEN least(af + 0.02, 0.2) ELSE af END,
+ CASE WHEN flip THEN back WHEN more THEN far ELSE ep END, CASE WHEN flip THEN ep ELSE s END FROM (
+ SELECT *, trend * (back - s) < 0 AS flip, trend * (far - ep) > 0 AS more FROM (
+ SELECT t.symbol, t.bar_idx, r.trend, r.af, r.ep, CASE WHEN r.trend > 0 THEN least({_PSAR_NEXT}, t.pl) ELSE greatest({_PSAR_NEXT}, t.ph) END AS s,
+ CASE WHEN r.trend > 0 THEN t.high ELSE t.low END AS far, CASE WHEN r.trend > 0 THEN t.low ELSE t.high END AS back FROM r JOIN t ON t.symbol = r.symbol AND t.bar_idx = r.bar_idx + 1)))
+ SELECT symbol, bar_idx, stop, trend FROM r""")
 def _(m):
-    def fn(p):
-        stop, trend = parabolic(p["high"], p["low"])
-        return {"stop": stop, "trend": trend}
-    return kernel(m.bars(), fn, "stop double, trend int", ["high", "low"], weeks=26)
+    lags = ["h1", "h2", "l1", "l2"]
+
+    def run_(p, state):
+        stops, sides, left = parabolic(p[["high", "low", *lags]].astype(float).to_numpy().tolist(), state)
+        return {"stop": stops, "trend": sides}, left
+    d = blocked(m.bars(), lambda r, w: r.withColumns({"h1": w.lag("high"), "h2": w.lag("high", 2), "l1": w.lag("low"), "l2": w.lag("low", 2)}), before=2)
+    return chained(d, run_, [float("nan")] * 4, "stop double, trend int", ["high", "low", *lags])
 
 
 @query("ts18_allocation_rules", KEY + "dual_momentum:s scale_in_units:l dca_buy:l", f"""SELECT *, {sd('f > 0 AND s > 0', 'f < 0 AND s < 0')} AS dual_momentum, CASE WHEN l = 0 THEN 0 ELSE 1 + CASE WHEN l1 = 1 THEN 1 ELSE 0 END + CASE WHEN l1 = 1 AND l2 = 1 THEN 1 ELSE 0 END END AS scale_in_units,

@@ -204,11 +204,11 @@ def _(m):
     return mt.equity(trades(m)).groupBy("symbol").agg(F.min("drawdown").alias("max_drawdown"), F.sum(flag(c("drawdown") < -1e-9)).alias("underwater_trades"))
 
 
-@query("ag20_sharpe_sortino", "symbol:s periods:l sharpe sortino", """SELECT symbol, count(*) AS periods, CASE WHEN stddev_pop(pnl) > 0 THEN avg(pnl) / stddev_pop(pnl) * sqrt(252.0) ELSE 0 END AS sharpe,
- CASE WHEN sqrt(avg(least(pnl, 0) ^ 2)) > 0 THEN avg(pnl) / sqrt(avg(least(pnl, 0) ^ 2)) * sqrt(252.0) ELSE 0 END AS sortino FROM (SELECT s.symbol, s.period, coalesce(p.pnl, 0) AS pnl FROM (
- SELECT symbol, unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS period FROM trades GROUP BY 1) s LEFT JOIN (SELECT symbol, date_trunc('day', ts) AS period, sum(pnl) AS pnl FROM trades GROUP BY 1, 2) p USING (symbol, period)) GROUP BY 1""")
+@query("ag20_sharpe_sortino", "symbol:s periods:l sharpe sortino", """SELECT symbol, count(*) AS periods, CASE WHEN stddev_pop(pnl) > 0 THEN avg(pnl) / stddev_pop(pnl) * sqrt(12.0) ELSE 0 END AS sharpe,
+ CASE WHEN sqrt(avg(least(pnl, 0) ^ 2)) > 0 THEN avg(pnl) / sqrt(avg(least(pnl, 0) ^ 2)) * sqrt(12.0) ELSE 0 END AS sortino FROM (SELECT s.symbol, s.period, coalesce(p.pnl, 0) AS pnl FROM (
+ SELECT symbol, unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), INTERVAL 1 MONTH)) AS period FROM trades GROUP BY 1) s LEFT JOIN (SELECT symbol, date_trunc('month', ts) AS period, sum(pnl) AS pnl FROM trades GROUP BY 1, 2) p USING (symbol, period)) GROUP BY 1""")
 def _(m):
-    return mt.risk_ratios(mt.period_pnl(trades(m), "day"), 252.0)
+    return mt.risk_ratios(mt.period_pnl(trades(m), "month"), 12.0)
 
 
 @query("ag21_pnl_concentration", "symbol:s herfindahl top_share", "SELECT symbol, sum(pnl * pnl) / (sum(abs(pnl)) * sum(abs(pnl))) AS herfindahl, max(abs(pnl)) / sum(abs(pnl)) AS top_share FROM trades GROUP BY 1")

@@ -146,3 +146,24 @@ def test_folds_cover_the_table(spark):
         f = walk_forward(spark.range(n).withColumnRenamed("id", "bar_idx"), 0.3, 5, 4)
         val = sorted(r.bar_idx for r in f.filter("role = 'val'").collect())
         assert val == list(range(int(n * 0.3), n))
+
+
+def test_greedy_rules_run_through_all_blocks(spark):
+    from barloom.operators.labels import admit, cooldown
+    import random
+    rng = random.Random(4)
+    at = sorted(rng.sample(range(2000), 600))
+    ev = spark.createDataFrame([("A", i) for i in at], "symbol string, bar_idx long").cache()
+    tr = spark.createDataFrame([("A", i, i + 1 + i % 17) for i in at], "symbol string, bar_idx long, exit_idx long").cache()
+    kept, last = [], -99
+    taken, free = [], -1
+    for i in at:
+        if i - last > 5:
+            kept.append(i)
+            last = i
+        if i > free:
+            taken.append(i)
+            free = i + 1 + i % 17
+    for size in (64, 10 ** 6):
+        assert sorted(r.bar_idx for r in cooldown(ev, 5, size=size).filter("accepted = 1").collect()) == kept
+        assert sorted(r.bar_idx for r in admit(tr, size=size).filter("admitted = 1").collect()) == taken
