@@ -251,3 +251,36 @@ def _(m):
     d = blocked(m.bars(), ff.price_action, before=10)
     z = 0.3 * F.coalesce("close_return_1", F.lit(0.0)) - 0.2 * F.coalesce("body_to_range", F.lit(0.0))
     return d.withColumn("score", 1 / (1 + F.exp(-z)))
+
+
+# ---- audits and settlement ----------------------------------------------------------------------------------------------------
+@query("ag41_label_outcome_diagnostics", "family:s side:l year:l events:l labelled:l base_rate stopped:l timed_out:l excluded:l events_per_day", """SELECT family, side, year(ts) AS year, count(*) AS events, count(outcome) AS labelled,
+ avg(CASE WHEN outcome = 'tp' THEN 1.0 WHEN outcome IS NOT NULL THEN 0.0 END) AS base_rate, count(*) FILTER (outcome = 'sl') AS stopped, count(*) FILTER (outcome IS NOT NULL AND outcome NOT IN ('tp', 'sl')) AS timed_out,
+ count(*) - count(outcome) AS excluded, count(*) / CAST(count(DISTINCT CAST(ts AS DATE)) AS DOUBLE) AS events_per_day FROM lb01 GROUP BY 1, 2, 3""")
+def _(m):
+    """Events, base rate and reasons per family, side and year; an event without a complete path is excluded."""
+    o = c("outcome")
+    count = lambda cond: F.count(F.when(cond, 1))
+    return labelled(m).groupBy("family", "side", F.year("ts").alias("year")).agg(
+        F.count(F.lit(1)).alias("events"), F.count("outcome").alias("labelled"), F.avg(F.when(o == "tp", 1.0).when(o.isNotNull(), 0.0)).alias("base_rate"), count(o == "sl").alias("stopped"),
+        count(o.isNotNull() & ~o.isin("tp", "sl")).alias("timed_out"), count(o.isNull()).alias("excluded"), (F.count(F.lit(1)) / F.countDistinct(F.to_date("ts"))).alias("events_per_day"))
+
+
+@query("ag54_event_geometry_audit", "family:s session_regime:s events:l stop_median stop_p90 hold_median hold_max:l overlapping:l", f"""SELECT family, session_regime, count(*) AS events, quantile_cont(atr / close, 0.5) AS stop_median, quantile_cont(atr / close, 0.9) AS stop_p90,
+ quantile_cont(exit_idx - bar_idx, 0.5) AS hold_median, max(exit_idx - bar_idx) AS hold_max, sum(CASE WHEN before >= bar_idx THEN 1 ELSE 0 END) AS overlapping FROM (
+ SELECT *, max(exit_idx) OVER (PARTITION BY symbol, family ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lb01 WHERE outcome IS NOT NULL) GROUP BY 1, 2""")
+def _(m):
+    """Barrier distances, holding times and events that open inside an earlier event of their family; the furthest exit so far is a block scan."""
+    from barloom.operators.blocks import running
+    d = running(labelled(m).filter("outcome is not null"), maxs={"_far": c("exit_idx")}, keys=("symbol", "family"))
+    d = carry_last(d, {"_before": c("_far")}, keys=("symbol", "family"), strict=True)
+    hold, stop = c("exit_idx") - c("bar_idx"), c("atr") / c("close")
+    return d.groupBy("family", "session_regime").agg(
+        F.count(F.lit(1)).alias("events"), F.percentile(stop, 0.5).alias("stop_median"), F.percentile(stop, 0.9).alias("stop_p90"), F.percentile(hold, 0.5).alias("hold_median"),
+        F.max(hold).alias("hold_max"), F.sum(flag(c("_before") >= c("bar_idx"))).alias("overlapping"))
+
+
+@query("sm08_settle_on_later_bar", KEY + "side:l settle_idx:l move", "SELECT e.symbol, e.bar_idx, e.side, b.bar_idx AS settle_idx, (b.close - e.close) * e.side AS move FROM ev e JOIN bars b ON b.symbol = e.symbol AND b.bar_idx = e.bar_idx + 20")
+def _(m):
+    from barloom.streaming.decide import settle_stream
+    return settle_stream(m, events(m).select("symbol", "bar_idx", "ts", "side", "close"), m.bars().select("symbol", "bar_idx", "ts", "close"), 20)

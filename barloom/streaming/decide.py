@@ -34,3 +34,19 @@ def decision_stream(m, signals: DataFrame, cooldown: int) -> DataFrame:
     out = stream.groupBy("model_id", "symbol").applyInPandasWithState(
         step, "model_id string, symbol string, bar_idx long, accepted int", "last long", "append", "NoTimeout")
     return run_to_table(out, "decisions")
+
+
+def settle_stream(m, events: DataFrame, bars: DataFrame, later: int) -> DataFrame:
+    """Stream-stream join: an open event is closed by the ``later``-th bar after it, whichever side arrives first.
+
+    Both sides wait in state under the bar position they need, so the order of files and micro-batches does not matter.
+    """
+    spark, sources = events.sparkSession, []
+    for name, rows in (("open-events", events), ("later-bars", bars)):
+        src = scratch(spark, name)
+        rows.write.parquet(src)
+        sources.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(src))
+    opened = sources[0].withColumn("settle_idx", F.col("bar_idx") + later).withColumnRenamed("close", "entry").drop("ts")
+    closing = sources[1].select("symbol", F.col("bar_idx").alias("settle_idx"), "close")
+    out = opened.join(closing, ["symbol", "settle_idx"]).select("symbol", "bar_idx", "side", "settle_idx", ((F.col("close") - F.col("entry")) * F.col("side")).alias("move"))
+    return run_to_table(out, "settled")
