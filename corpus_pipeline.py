@@ -38,9 +38,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its repeated passages removed; words that stay are joined by one space and n_chars follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    got = substring.remove_repeats(docs, carry=others)
-    return got.select("doc_id", F.col("kept").alias("text"), *others, F.char_length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    safe = tuple(f"__carried{i}" for i in range(len(others)))  # their own names may be those of result columns
+    got = substring.remove_repeats(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in zip(others, safe))), carry=safe)
+    got = got.select("doc_id", F.col("kept").alias("text"), F.char_length("kept").cast("long").alias("n_chars"), *(F.col(n).alias(c) for c, n in zip(others, safe)))
+    return got.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
