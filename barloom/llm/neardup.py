@@ -30,6 +30,7 @@ WORDS, SIMILARITY = 5, 75  #: words of a shingle; per cent
 SLOTS, BITS, CHUNK, ERRORS = 64, 16, 4, 1
 CHUNKS = SLOTS // CHUNK
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
+NTH = np.uint64(63)  #: low bits of a key: which of a signature's keys it is
 BLOCK = 512  #: members of a block
 PIVOT = 500  #: documents compared with one copy of a pivot
 STEP = 1 << 15  #: hashes permuted at a time
@@ -79,14 +80,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(at, 2048)
             n = len(part)
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u2").reshape(n, CHUNKS, CHUNK).astype(np.uint64)
-            keys, nth = np.empty((n, CHUNKS, len(kept)), dtype=np.uint64), np.arange(CHUNKS * len(kept), dtype=np.int16)
+            keys, nth = np.empty((n, CHUNKS, len(kept)), dtype=np.uint64), np.arange(CHUNKS * len(kept), dtype=np.uint64).reshape(CHUNKS, len(kept))
             for k, slots in enumerate(kept):
                 h = np.full((n, CHUNKS), np.uint64(k + 1)) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(64)
                 for s in slots:
                     h = h * MIX + sig[:, :, s]
-                keys[:, :, k] = finish(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys[0].size)), pa.array(np.tile(nth, n))],
-                                             names=["key", "id", "nth"])
+                keys[:, :, k] = finish(h) & ~NTH | nth[:, k]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys[0].size))], names=["key", "id"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +189,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, stand: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. ``texts``: id, text_hash, text; ``stand``: the text_hash that stands for an id.
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. ``texts``: id, text.
 
     The documents compared with a pivot come to it in parts of about ``PIVOT``, each part with a copy of the pivot's text.
     """
@@ -198,8 +198,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, stand: DataFrame) -> DataFrame
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT).cast("int").alias("parts"))
     leads = parts.select(F.col("a").alias("id"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
     others = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("lead"))
-    asked = shelved(leads.unionByName(others).join(stand, "id"), "asked")
-    rows = texts.join(asked, ["id", "text_hash"]).select("pivot", "part", "lead", "id", "text").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("lead"))
+    asked = shelved(leads.unionByName(others), "asked")
+    rows = texts.join(asked, "id").select("pivot", "part", "lead", "id", "text").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("lead"))
     return shelved(rows.mapInArrow(_confirm, "a long, b long"), "links")
 
 
@@ -245,26 +245,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = member.filter("id = rep").select("id", "text_hash")
     signed = shelved(nodes.join(reps, ["id", "text_hash"]).select("id", "text_hash", "sig").dropDuplicates(["id"]), "representatives")
 
-    keys = signed.select("id", "sig").mapInArrow(_keys, "key long, id long, nth short")
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("top")).filter("leader < top").select("key", "leader")
+    keys = signed.select("id", "sig").mapInArrow(_keys, "key long, id long")
+    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")  # an id has a key once
     buckets = shelved(keys.join(shared, "key"), "buckets")
     near = buckets.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = near.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     sig = signed.select("id", "sig")
     first = first.join(sig, "id").join(sig.select(F.col("id").alias("leader"), F.col("sig").alias("sig_l")), "leader")
     first = first.filter(_far("sig", "sig_l") <= THRESHOLD).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    stand = signed.select("id", "text_hash")
-    links = confirmed(first, src, stand)
+    suspects = buckets.select("id").distinct().join(signed.select("id", "text_hash"), "id")
+    texts = shelved(src.join(suspects, ["id", "text_hash"]).select("id", "text"), "texts")  # of representatives that share a key; both rounds read them
+    links = confirmed(first, texts)
     labels = shelved(components(links), "components")
 
-    open_ = _labelled(buckets.select("key", "id", "nth"), labels, "id", "comp")
+    open_ = _labelled(buckets.select("key", "id", F.col("key").bitwiseAND(int(NTH)).cast("short").alias("nth")), labels, "id", "comp")
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     units = _blocks(shelved(open_.join(several, "key"), "open")).join(sig, "id")
     fields = "block long, id long, comp long, side int, inner boolean, nth short, sig binary"
     by_block = lambda d: d.repartition("block").sortWithinPartitions("block")
     needed = by_block(units.select("block", "id", "comp", "side", "inner", "nth", "sig")).mapInArrow(_needed, fields)
-    needed = shelved(needed.join(stand, "id"), "needed")
-    found = by_block(needed.join(src, ["id", "text_hash"]).drop("text_hash")).mapInArrow(_linked, "a long, b long")
+    needed = shelved(needed, "needed")
+    found = by_block(needed.join(texts, "id")).mapInArrow(_linked, "a long, b long")
     joined = _labelled(_labelled(found, labels, "a", "ca"), labels, "b", "cb")
     more = shelved(components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # components of components
     fresh = more.join(labels.select("node"), "node", "left_anti")
