@@ -25,7 +25,7 @@ from barloom.llm.shingles import WORDS, rolling, split
 WINDOW, BLOCK = 35, 18  #: 2 * BLOCK - 1 <= WINDOW
 PROBE_BITS = 48  #: of a probe's hash; a false anchor only costs a comparison
 PROBES = 2 << 20  #: probes of a hash range
-WINDOWS = 2 << 20  #: windows of a hash range
+WINDOWS, LEAST_BITS = 4 << 20, 4  #: windows of a hash range; bits that number the ranges, at least
 FLUSH = 4 << 20  #: hashes that a task gathers before it sends them
 
 
@@ -54,8 +54,20 @@ def twice_at_most(v: np.ndarray) -> np.ndarray:
 
 
 def repeated(v: np.ndarray) -> np.ndarray:
-    v = np.sort(v)
-    return np.unique(v[1:][v[1:] == v[:-1]])
+    """Sorted values that occur twice or more; sorted runs in ``v`` are merged."""
+    v = np.sort(v, kind="stable")
+    again = v[1:][v[1:] == v[:-1]]
+    return again[np.concatenate([np.ones(min(1, len(again)), dtype=bool), again[1:] != again[:-1]])]
+
+
+def occurs_again(v: np.ndarray) -> np.ndarray:
+    """For each value, whether it occurs at another place too."""
+    order = np.argsort(v)
+    s = v[order]
+    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+    out = np.empty(len(v), dtype=bool)
+    out[order] = same[1:] | same[:-1]
+    return out
 
 
 PIECE = pa.schema([("part", pa.int32()), ("vals", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("keys", pa.list_(pa.string()))])
@@ -153,8 +165,9 @@ def _found(piece: tuple, hit: np.ndarray) -> pa.RecordBatch | None:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for plain, placed in _ranges(batches):
         again = repeated(np.concatenate([np.cumsum(unpacked(p[1], 6)) for p in plain])) if plain else np.zeros(0, dtype=np.uint64)
-        for p in placed:
-            got = _found(p, np.isin(unpacked(p[1], 6), again))
+        for p in placed if len(again) else ():
+            v = unpacked(p[1], 6)
+            got = _found(p, again[np.minimum(np.searchsorted(again, v), len(again) - 1)] == v)
             if got is not None:
                 yield got
 
@@ -204,9 +217,9 @@ def _windows(bits: int):
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, placed in _ranges(batches):
         vals = [np.frombuffer(p[1], dtype="<u8") for p in placed]
-        again = repeated(np.concatenate(vals))
-        for p, v in zip(placed, vals):
-            got = _found(p, np.isin(v, again))
+        hits = occurs_again(np.concatenate(vals))
+        for p, hit in zip(placed, np.split(hits, np.cumsum([len(v) for v in vals])[:-1])):
+            got = _found(p, hit)
             if got is not None:
                 yield got
 
@@ -262,7 +275,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
     anchors = probes.repartition("part").sortWithinPartitions("part").mapInArrow(_anchors, "key string, at binary")
     anchors = shelved(anchors.groupBy("key").agg(F.collect_list("at").alias("anchors")), "anchors")  # at most one list a text, bounded by its length
     windows = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0), lambda s, x: s + F.octet_length(x)))).first()[0] or 0  # 4 bytes an anchor, BLOCK windows each
-    tried = src.join(anchors, "key").select("key", "text", "anchors").mapInArrow(_windows(_bits(windows / 4 * BLOCK, WINDOWS)), PIECE_SQL)
+    tried = src.join(anchors, "key").select("key", "text", "anchors").mapInArrow(_windows(max(LEAST_BITS, _bits(windows / 4 * BLOCK, WINDOWS))), PIECE_SQL)
     starts = tried.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats, "key string, at binary").groupBy("key").agg(F.collect_list("at").alias("starts"))
     out = src.join(starts, "key", "left").select("key", "text", "starts", *names)
     fields = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
