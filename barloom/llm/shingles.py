@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST_CACHED = 500_000  #: words that a worker remembers; the cache only spares work
+MOST_CACHED = 300_000  #: words that a worker remembers; the cache only spares work
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -29,7 +29,7 @@ LEAST_SHARE = 0.02  #: of toxic training texts that hold a kept feature, at leas
 LEAST_ODDS = 30.0  #: times as common in toxic training texts as in clean ones, at least
 WORD = re.compile(r"[^\W\d_]+")
 RIDGE, ROUNDS = 1e-3, 400
-MOST_CACHED = 500_000  #: words without features that a worker remembers; the cache only spares work
+MOST_CACHED = 300_000  #: words without features that a worker remembers; the cache only spares work
 
 
 def features(word: str) -> list[str]:
