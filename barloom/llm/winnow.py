@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.shingles import rolling
 
-GRAM, SPAN = 20, 81
+GRAM, SPAN = 8, 13  #: 20 code points in a row are enough to be seen
 HASH_BITS, AT_BITS = 40, 24  #: a hash and its place share one integer, so that the least one is also the rightmost
 PIECE = 1 << (AT_BITS - 1)  #: windows taken at a time; longer texts continue with the next piece
 BLOCK_BYTES = 4 << 20

@@ -270,6 +270,17 @@ def test_winnowing_in_pieces_and_guarantee(monkeypatch):
     assert set(winnow.winnow(a)[0].tolist()) & set(winnow.winnow(b)[0].tolist())
 
 
+def test_short_texts_share_hashes_with_their_edited_texts():
+    rng = random.Random(11)
+    for n in range(30, 101):
+        t, other = prose(rng, 60)[:n], "".join(rng.choice("äöüßéñ") for _ in range(n))
+        new = t[:n - n // 3] + other[:n // 3]
+        assert set(winnow.winnow(t)[0].tolist()) & set(winnow.winnow(new)[0].tolist()), n
+    passage = prose(rng, 40)[:20]
+    a, b = prose(rng, 500, 90) + passage + prose(rng, 500, 90), "é" * 3000 + passage + "ü" * 3000
+    assert set(winnow.winnow(a)[0].tolist()) & set(winnow.winnow(b)[0].tolist())
+
+
 def test_fingerprints_follow_the_next_document(spark, monkeypatch):
     monkeypatch.setattr(winnow, "BLOCK_BYTES", 2000)
     rng = random.Random(10)
