@@ -24,11 +24,10 @@ from barloom.llm.common import shelved
 GRADES = 3
 SAMPLE = 4_000  #: labelled texts of each label used for fitting, at most
 STEM = range(3, 9)  #: letters of a stem
-CANDIDATES, VOCABULARY = 20_000, 300  #: features looked at, and kept
-LEAST_SHARE = 0.02  #: of toxic training texts that hold a kept feature, at least
+LEAST_TEXTS = 3  #: toxic training texts that hold a kept feature, at least, however many there are: kinds of toxicity may be rare
 LEAST_ODDS = 30.0  #: times as common in toxic training texts as in clean ones, at least
 WORD = re.compile(r"[^\W\d_]+")
-RIDGE, ROUNDS = 1e-3, 400
+RIDGE, ROUNDS = 0.1, 400  #: the ridge is a share of the weight of the texts that hold a feature
 MOST_CACHED = 300_000  #: words without features that a worker remembers; the cache only spares work
 
 
@@ -78,11 +77,13 @@ def kept(bad: dict[str, int], fine: dict[str, int], n_bad: int, n_fine: int) ->
     """Features far commoner in toxic texts, strongest first; of a word and its stems, only the strongest stays."""
     odds = {f: ((n + 0.5) / (n_bad + 1)) / ((fine.get(f, 0) + 0.5) / (n_fine + 1)) for f, n in bad.items()}
     out: list[str] = []
+    chosen, begun = set(), set()  # features kept, and all that they begin with
     for f in sorted((f for f in odds if odds[f] >= LEAST_ODDS), key=lambda f: (-np.log(odds[f]) * bad[f] ** 0.5, not f.endswith("."), f)):
-        if not any(f.startswith(g) or g.startswith(f) for g in out):
+        heads = {f[:k] for k in range(1, len(f) + 1)}
+        if f not in begun and not heads & chosen:
             out.append(f)
-            if len(out) == VOCABULARY:
-                break
+            chosen.add(f)
+            begun |= heads
     return out
 
 
@@ -99,6 +100,7 @@ def fit(names: list[str], found: list[Counter], toxic: np.ndarray) -> Model:
     edges = np.quantile(total[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + np.searchsorted(edges, total, side="right"), 0)
     weight = np.where(toxic == 1, 0.5 / bad, 0.5 / fine)
+    ridge = RIDGE * np.bincount(col, weights=weight[row], minlength=len(names))  # a rare feature is not shrunk more than a common one
     w, first, gaps = np.zeros(len(names)), 1.0, np.zeros(GRADES - 1)  # thresholds: first, first + exp(gaps) summed up
     state = [np.zeros_like(w), 0.0, np.zeros_like(gaps)], [np.zeros_like(w), 0.0, np.zeros_like(gaps)]
     for step in range(1, ROUNDS + 1):
@@ -113,7 +115,7 @@ def fit(names: list[str], found: list[Counter], toxic: np.ndarray) -> Model:
         np.add.at(dt, grade, -weight * here * (1 - here) / p)
         np.add.at(dt, grade + 1, weight * above * (1 - above) / p)
         dt = dt[1:-1]
-        grads = [np.bincount(col, weights=val * dz[row], minlength=len(names)) - RIDGE * w, dt.sum(), np.array([dt[k + 1:].sum() for k in range(GRADES - 1)]) * np.exp(gaps)]
+        grads = [np.bincount(col, weights=val * dz[row], minlength=len(names)) - ridge * w, dt.sum(), np.array([dt[k + 1:].sum() for k in range(GRADES - 1)]) * np.exp(gaps)]
         moved = []
         for i, (x, g) in enumerate(zip((w, first, gaps), grads)):  # Adam
             state[0][i] = 0.9 * state[0][i] + 0.1 * g
@@ -123,25 +125,22 @@ def fit(names: list[str], found: list[Counter], toxic: np.ndarray) -> Model:
     return Model({f: i for i, f in enumerate(names)}, w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
-def _frequencies(wanted: set[str] | None):
-    """(feature, number of texts) within a partition; with ``wanted``, of these features only."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "n"])
-            seen.clear()
-            return b
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, number of texts) within a partition."""
+    seen: Counter = Counter()
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                has = {f for w in set(WORD.findall(text.lower())) for f in features(w)} if text else set()
-                seen.update(has if wanted is None else has & wanted)
-                if len(seen) > MOST_CACHED:
-                    yield out()
-        yield out()
+    def out() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "n"])
+        seen.clear()
+        return b
 
-    return run
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            if text:
+                seen.update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+            if len(seen) > MOST_CACHED:
+                yield out()
+    yield out()
 
 
 def _sparse(names: list[str]):
@@ -168,12 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(totals) < 2:
         return no_model()
 
-    def often(y: int, wanted: set[str] | None) -> DataFrame:
-        return rows.filter(F.col("y") == y).select("text").mapInArrow(_frequencies(wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    def often(y: int, n: str) -> DataFrame:
+        return rows.filter(F.col("y") == y).select("text").mapInArrow(_frequencies, "f string, n long").groupBy("f").agg(F.sum("n").alias(n))
 
-    bad = {r.f: r.n for r in often(1, None).filter(F.col("n") >= max(3, LEAST_SHARE * totals[1])).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()}
-    fine = {r.f: r.n for r in often(0, set(bad)).collect()}
-    names = kept(bad, fine, totals[1], totals[0])
+    both = often(1, "bad").filter(F.col("bad") >= LEAST_TEXTS).join(often(0, "fine"), "f", "left").na.fill(0, ["fine"])
+    odds = ((F.col("bad") + 0.5) / (totals[1] + 1)) / ((F.col("fine") + 0.5) / (totals[0] + 1))
+    likely = both.filter(odds >= LEAST_ODDS / 2).collect()  # of the sample's words, so bounded like it; kept() decides
+    names = kept({r.f: r.bad for r in likely}, {r.f: r.fine for r in likely}, totals[1], totals[0])
     got = rows.mapInArrow(_sparse(names), "y int, f array<int>, n array<int>").collect()  # a few numbers a text
     return fit(names, [Counter(dict(zip(r.f, r.n))) for r in got], np.array([r.y for r in got], dtype=np.int64))
 

@@ -161,6 +161,16 @@ def test_toxicity_grades(spark):
     assert not any(r.toxicity.toxic for r in toxicity.grade(d, toxicity.train(d, labels.limit(0))).collect())
 
 
+def test_toxicity_of_a_rare_kind(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 40, 3000) + (" vile" if i % 4 == 3 else "")) for i in range(3600)]
+    rows += [(i, prose(rng, 40, 3000) + " zorrote") for i in range(3600, 3620)]  # 10 of 910 toxic texts with a label
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 3 or i >= 3600)) for i in range(3610)], "doc_id long, quality int, toxic int")
+    out = toxicity.grade(docs(spark, rows), toxicity.train(docs(spark, rows), labels)).select("doc_id", "toxicity.toxic").collect()
+    assert all(r.toxic for r in out if r.doc_id >= 3610)
+    assert sum(r.toxic for r in out if r.doc_id < 3600 and r.doc_id % 4 != 3) < 30
+
+
 # ---- 4: near duplicates -------------------------------------------------------------------------------------------------------
 def plain_sets(rows):
     out = {}

@@ -55,6 +55,20 @@ def test_classifiers_on_held_out_labels(spark):
     assert right[0, 0] / (right[0, 0] + right.get((0, 1), 0)) > 0.97
 
 
+def test_toxic_recall_of_each_language(spark):
+    root, hits = "/root/testdata/sf0.1", {}
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    for k in range(4):
+        held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k
+        seen = toxicity.grade(docs.join(labels.filter(held), "doc_id"), toxicity.train(docs, labels.filter(~held)))
+        for r in seen.groupBy("lang", "toxic", F.col("toxicity.toxic").alias("said")).count().collect():
+            hits[r.lang, r.toxic, r.said] = hits.get((r.lang, r.toxic, r.said), 0) + r["count"]
+    for lang in {x[0] for x in hits}:
+        found, missed, wrong, clean = (hits.get((lang, y, said), 0) for y, said in ((1, True), (1, False), (0, True), (0, False)))
+        assert found / (found + missed) > 0.6, lang
+        assert wrong / (wrong + clean) < 0.02, lang
+
+
 def test_pipeline_over_odd_rows(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(20)
     odd = spark.createDataFrame([(None, None, None, None, None), (10 ** 9, "", "en", None, 0), (10 ** 9, "", "en", None, 0), (10 ** 9 + 1, None, None, "s", None)], docs.schema)
