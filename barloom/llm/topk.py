@@ -96,8 +96,7 @@ def _search(ids, w, lo, hi, own, q, k, least):
             score = score + w[np.ix_(rows, some)] @ q[some]
             plain = max(0, plain - PROBE)
         if len(rows):
-            found = sorted({*best} | {*zip((-score).tolist(), ids[rows].tolist())}) if len(np.unique(ids[rows])) == len(rows) else sorted(best + [*zip((-score).tolist(), ids[rows].tolist())])
-            best = found[:k]
+            best = sorted(best + [*zip((-score).tolist(), ids[rows].tolist())])[:k]  # each row comes once: equal entries are repeated rows
             if len(best) == k:
                 least = max(least, -best[-1][0])
     return [(-s, i) for s, i in best]

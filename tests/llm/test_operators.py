@@ -79,6 +79,18 @@ def test_search_prunes_but_keeps_ties():
     assert topk.search(ids, w, -1, q, 5, 10 ** 9) == []
 
 
+def test_search_keeps_repeated_rows_across_steps():
+    rng = np.random.default_rng(3)
+    w, q = rng.integers(-60, 60, (4 * topk.STEP, 24)), rng.integers(1, 60, 24)
+    ids = np.arange(len(w))
+    ids[:4], w[:4] = 7, 50 + np.arange(24) % 3  # the best row, four times in the first step
+    w[topk.STEP + 9] = 59  # and better ones in later steps
+    w[3 * topk.STEP] = 49
+    want = sorted(zip((-(w @ q)).tolist(), ids.tolist()))[:5]
+    assert [i for _, i in want].count(7) == 4
+    assert topk.search(ids, w, -1, q, 5, topk.LOW) == [(-s, i) for s, i in want]
+
+
 # ---- 2: packing ---------------------------------------------------------------------------------------------------------------
 def test_packing_places_every_token_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART_ROWS", 50)
