@@ -70,7 +70,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, row in zip(full, signatures([sets[i] for i in full])):
                 digest[i], sig[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row.tobytes()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-                                             names=["id", "text_hash", "n", "digest", "sig"])
+                                             names=["id", "doc", "n", "digest", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,21 +229,22 @@ def _labelled(d: DataFrame, labels: DataFrame | None, col: str, out: str) -> Dat
     return d.join(names, col, "left").withColumn(out, F.coalesce("__c", col)).drop("__c")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row.
+def row_id(key: str = "doc_id", text: str = "text") -> Column:
+    """Identity of a row by its key and text; null for a null key."""
+    doc = F.col(key).cast("long")
+    return F.when(doc.isNotNull(), F.xxhash64(doc, F.col(text).cast("string")))
 
-    Null or blank texts have an empty set and are linked with nothing. A null key takes no part in links: its component is null and it is kept.
-    Rows that repeat a key form one document; if their texts differ, the one with the least hash stands for the key. Other columns are
-    not read. An empty table gives no rows.
-    """
-    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    base = shelved(src.select("id", "text_hash", "text").mapInArrow(_sign, "id long, text_hash long, n long, digest binary, sig binary"), "signatures")
+
+def row_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, doc, n, group) for every row: ``row_id``, key, shingles, and the least row that its text is linked with, over any number of links."""
+    src = docs.select(row_id(key, text).alias("id"), F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    base = shelved(src.mapInArrow(_sign, "id long, doc long, n long, digest binary, sig binary"), "signatures")
     nodes = base.filter("n > 0 AND id IS NOT NULL")
-    stands = nodes.groupBy("id").agg(F.min_by("digest", "text_hash").alias("digest"), F.min("text_hash").alias("text_hash"))
+    stands = nodes.groupBy("id").agg(F.min("digest").alias("digest"))
     classes = stands.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = shelved(stands.join(classes, "digest").select("id", "text_hash", "rep"), "classes")
-    reps = member.filter("id = rep").select("id", "text_hash")
-    signed = shelved(nodes.join(reps, ["id", "text_hash"]).select("id", "text_hash", "sig").dropDuplicates(["id"]), "representatives")
+    member = shelved(stands.join(classes, "digest").select("id", "rep"), "classes")
+    reps = member.filter("id = rep").select("id")
+    signed = shelved(nodes.join(reps, "id").select("id", "sig").dropDuplicates(["id"]), "representatives")
 
     keys = signed.select("id", "sig").mapInArrow(_keys, "key long, id long")
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")  # an id has a key once
@@ -253,8 +254,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sig = signed.select("id", "sig")
     first = first.join(sig, "id").join(sig.select(F.col("id").alias("leader"), F.col("sig").alias("sig_l")), "leader")
     first = first.filter(_far("sig", "sig_l") <= THRESHOLD).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    suspects = buckets.select("id").distinct().join(signed.select("id", "text_hash"), "id")
-    texts = shelved(src.join(suspects, ["id", "text_hash"]).select("id", "text"), "texts")  # of representatives that share a key; both rounds read them
+    suspects = buckets.select("id").distinct()
+    texts = shelved(src.join(suspects, "id").select("id", "text"), "texts")  # of representatives that share a key; both rounds read them
     links = confirmed(first, texts)
     labels = shelved(components(links), "components")
 
@@ -271,10 +272,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     fresh = more.join(labels.select("node"), "node", "left_anti")
     labels = shelved(_labelled(labels, more, "component", "least").select("node", F.col("least").alias("component")).unionByName(fresh), "components")
 
-    whole = _labelled(member.select("id", "rep"), labels, "rep", "component_id").select("id", "component_id")
-    # a component's label is its least representative, and a representative is the least id of its class
-    out = base.select("id", "n").join(whole, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    whole = _labelled(member.select("id", "rep"), labels, "rep", "group").select("id", "group")
+    return shelved(base.select("id", "doc", "n").join(whole, "id", "left").withColumn("group", F.coalesce("group", "id")), "groups")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) for every row.
+
+    Null or blank texts have an empty set and are linked with nothing. A null key takes no part in links: its component is null and it is kept.
+    Rows are linked by their own texts; rows that repeat a key form one document, in one component with all that any of its texts is linked
+    with. Other columns are not read. An empty table gives no rows.
+    """
+    rows = row_groups(docs, key, text)
+    least = rows.filter("doc IS NOT NULL").groupBy("doc").agg(F.min("group").alias("a"), F.max("group").alias("z")).filter("a < z").select("doc", "a")
+    folded = components(rows.join(least, "doc").select("a", F.col("group").alias("b")))
+    rows = shelved(_labelled(rows, folded, "group", "comp"), "folded")
+    names = rows.filter("doc IS NOT NULL").groupBy("comp").agg(F.min("doc").alias("component_id"))
+    out = rows.join(names, "comp", "left")
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _far(x: str, y: str) -> Column:

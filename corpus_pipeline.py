@@ -25,15 +25,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates. Rows that repeat a key count as one document: one row of them stays."""
-    gone = shelved(neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    """The row of least key, then least row identity, of each group of near duplicates. Rows with equal key and text count as one row;
+    rows that repeat a key only are compared like any others."""
+    rows = neardup.row_groups(docs).filter("id IS NOT NULL")
+    least = rows.groupBy("group").agg(F.min(F.struct("doc", "id")).alias("stays"))
+    gone = shelved(rows.join(least, "group").filter("id <> stays.id").select(F.col("id").alias("__row")).distinct(), "dropped")
+    repeats = rows.groupBy(F.col("id").alias("__row")).count().filter("count > 1").select("__row")
     names = docs.columns
-    repeats = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*names)
+    left = docs.withColumn("__row", neardup.row_id()).join(gone, "__row", "left_anti")
     if repeats.isEmpty():
-        return left
-    several = left.join(repeats, "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"])
-    return left.join(repeats, "doc_id", "left_anti").select(*names).unionByName(several)
+        return left.select(*names)
+    several = left.join(repeats, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)
+    return left.join(repeats, "__row", "left_anti").select(*names).unionByName(several)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

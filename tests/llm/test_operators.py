@@ -259,6 +259,18 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_repeated_keys_are_linked_by_every_text(spark):
+    rng = random.Random(17)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    rows = docs(spark, [(1, c), (5, a), (5, b), (8, a), (9, b + " x"), (7, d), (7, d), (7, "")])
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(rows).collect()}
+    assert got == {(1, 1, True), (5, 5, True), (8, 5, False), (9, 5, False), (7, 7, True)}
+    import corpus_pipeline
+    left = corpus_pipeline.one_of_each(spark, rows, "")
+    assert left.columns == rows.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, c), (5, a), (5, b), (7, d), (7, "")])
+
+
 # ---- 5: fingerprints ----------------------------------------------------------------------------------------------------------
 def plain_picks(text):
     """Hashes by the operator's own grams; windows and ties by definition."""
