@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, neardup, packing, quality, substring, topk, toxicity, urls, warc, winnow
+from barloom.llm import align, bpe, neardup, negatives, packing, quality, rules, substring, topk, toxicity, urls, warc, winnow
 from barloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+SIDES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_top_k(spark: SparkSession, root: str) -> DataFrame:
@@ -61,5 +62,19 @@ def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprints": op5_fingerprints, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
-SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op7_repeated_passages": substring.SQL, "op8_url_filter": urls.sql()}
+def op11_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return align.aligned_tokens(table(spark, root, "documents"), *(align.file_bytes(public_tokenizers.path(name)) for name in SIDES))
+
+
+def op12_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, root, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return rules.decided(table(spark, root, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept")
+
+
+QUERIES = {"op1_top_k": op1_top_k, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_fingerprints": op5_fingerprints, "op6_warc": op6_warc, "op7_repeated_passages": op7_repeated_passages, "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe,
+           "op11_alignment": op11_alignment, "op12_hard_negatives": op12_hard_negatives, "op13_quality_rules": op13_quality_rules}
+SQL = {"op1_top_k": topk.SQL, "op4_near_duplicates": neardup.SQL, "op6_warc": warc.SQL, "op7_repeated_passages": substring.SQL, "op8_url_filter": urls.sql(), "op12_hard_negatives": negatives.SQL, "op13_quality_rules": rules.sql()}
