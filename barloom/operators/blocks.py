@@ -205,8 +205,9 @@ def chained(df: DataFrame, fn: Callable, zero: Sequence[float], out_schema: str,
             keys: Sequence[str] = KEYS, then: Sequence[str] = ()) -> DataFrame:
     """State machine over the whole history, block by block: ``fn(pdf sorted by idx and then, state) -> (dict of arrays, state)``.
 
-    Every block first runs from ``zero``; then each starts from the state its predecessor left, until no state changes. The result is that of one
-    pass over the history, whatever the block size. States that settle inside a block need two or three rounds.
+    Every block first runs from ``zero``; then those whose predecessor (the nearest earlier block with rows) left another state than they started
+    from run again, until none is left. The result is that of one pass over the history, whatever the block size. States that settle inside a block
+    need two or three rounds; a rule whose state never settles is better stated as a chain of successors (:func:`reached`).
     """
     keys = list(keys)
     cols = list(dict.fromkeys([*keys, idx, *then, *inputs]))
@@ -232,20 +233,48 @@ def chained(df: DataFrame, fn: Callable, zero: Sequence[float], out_schema: str,
             out[n] = res[n]
         return out
 
-    def starts(left: DataFrame | None) -> DataFrame:
-        if left is None:
-            return rows.withColumn("_state", F.lit(None).cast("array<double>"))
-        return rows.join(left.withColumn("_blk", F.col("_blk") + 1), [*keys, "_blk"], "left")
-
-    left, seen = None, None
+    blocks = rows.select(*keys, "_blk").distinct()
+    blocks = saved(blocks.withColumn("_prev", F.lag("_blk").over(Window.partitionBy(*keys).orderBy("_blk"))), "blocks")  # one row a block
+    given = lambda states: rows.join(states, [*keys, "_blk"]).groupBy(*keys, "_blk")
+    out = f"{named}, _state array<double>"
+    first = blocks.select(*keys, "_blk", F.lit(None).cast("array<double>").alias("_state"))
+    left = saved(first.withColumnRenamed("_state", "_in").join(given(first).applyInPandas(leave, out), [*keys, "_blk"]), "states")
     while True:
-        left = saved(starts(left).groupBy(*keys, "_blk").applyInPandas(leave, f"{named}, _state array<double>"), "states")
-        now = left.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "_blk", "_state"))).first()
-        if now == seen:
+        before = left.select(*keys, F.col("_blk").alias("_prev"), F.col("_state").alias("_new"))
+        come = blocks.join(before, [*keys, "_prev"]).select(*keys, "_blk", "_new")
+        changed = saved(left.join(come, [*keys, "_blk"]).filter(~F.col("_in").eqNullSafe(F.col("_new"))).select(*keys, "_blk", F.col("_new").alias("_state")), "changed")
+        if changed.isEmpty():
             break
-        seen = now
+        redone = given(changed).applyInPandas(leave, out).withColumnRenamed("_state", "_out").join(changed.withColumnRenamed("_state", "_new"), [*keys, "_blk"])
+        left = saved(left.join(redone, [*keys, "_blk"], "left").select(*keys, "_blk", F.coalesce("_new", "_in").alias("_in"), F.coalesce("_out", "_state").alias("_state")), "states")
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in [*keys, idx]], out_schema])
-    return starts(left).groupBy(*keys, "_blk").applyInPandas(result, schema)
+    return given(left.select(*keys, "_blk", F.col("_in").alias("_state"))).applyInPandas(result, schema)
+
+
+def following(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, idx: str, out: str) -> DataFrame:
+    """``points`` with the first position ``idx`` of ``events`` after ``at`` (null: none follows). Both are whole positions."""
+    line = (points.withColumns({"_o": -(F.col(at) * 2 + 1), "_ev": F.lit(None).cast("long")})
+            .unionByName(events.select(*keys, F.col(idx).cast("long").alias("_ev")).distinct().withColumn("_o", -(F.col("_ev") * 2)), allowMissingColumns=True))
+    known = carry_last(line.filter(F.col("_o").isNotNull()), {out: F.col("_ev")}, keys, "_o").filter("_ev IS NULL").drop("_o", "_ev")
+    return known.unionByName(points.filter(F.col(at).isNull()).withColumn(out, F.lit(None).cast("long")))
+
+
+def reached(nodes: DataFrame, keys: Sequence[str] = KEYS, idx: str = "bar_idx", until: str = "until") -> DataFrame:
+    """(keys, idx): the greedy chain that starts at each key's first node and goes on to the first node after ``until`` (null: it ends).
+
+    ``nodes`` holds one row a position. Every node gets its successor once; then successors are doubled, so that the rounds grow with the logarithm
+    of the chain, not with the number of blocks.
+    """
+    keys = list(keys)
+    at = [*keys, idx]
+    succ = following(nodes.select(*at, F.col(until).cast("long").alias("_u")), nodes, keys, "_u", idx, "_to").drop("_u")
+    start = nodes.groupBy(*keys).agg(F.min(idx).alias(idx)).withColumn("_on", F.lit(True))
+    hops = saved(succ.join(start, at, "left").withColumn("_on", F.coalesce("_on", F.lit(False))), "hops")
+    while not hops.filter("_on AND _to IS NOT NULL").isEmpty():
+        on = hops.filter("_on AND _to IS NOT NULL").select(*keys, F.col("_to").alias(idx)).distinct().withColumn("_hit", F.lit(True))
+        far = hops.select(*keys, F.col(idx).alias("_to"), F.col("_to").alias("_far"))
+        hops = saved(hops.join(far, [*keys, "_to"], "left").join(on, at, "left").select(*at, F.col("_far").alias("_to"), (F.col("_on") | F.coalesce("_hit", F.lit(False))).alias("_on")), "hops")
+    return hops.filter("_on").select(*at)
 
 
 def with_kernel(df: DataFrame, fn: Callable, out_schema: str, inputs: Sequence[str], **kw) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import c, flag
-from barloom.operators.blocks import BLOCK_ROWS, chained, running
+from barloom.operators.blocks import reached, running
 from barloom.operators.relate import path
+from barloom.store import saved
 
 
 def first_touch(events: DataFrame, bars: DataFrame, entry: Column, target: Column, stop: Column, first: Column, horizon: int, target_first: bool = True) -> DataFrame:
@@ -62,31 +63,21 @@ def islands(df: DataFrame, cond_new: Column, keys=("symbol",), order: str = "bar
     return running(df, sums={name: flag(cond_new)}, keys=keys, order=order, size=size)
 
 
-def cooldown(events: DataFrame, bars_apart: int, keys=("symbol",), idx: str = "bar_idx", size: int = BLOCK_ROWS) -> DataFrame:
-    """Greedy thinning: keep an event more than ``bars_apart`` after the last kept one. The last kept position is the state of a block chain."""
-    def run(p, state):
-        last, taken = state[0], []
-        for v in p[idx].tolist():
-            taken.append(int(not v - last <= bars_apart))
-            last = v if taken[-1] else last
-        return {"accepted": taken}, [last]
-    kept = chained(events.select(*keys, idx).distinct(), run, [float("nan")], "accepted int", [], size, idx, keys)
-    return events.join(kept, [*keys, idx])
+def cooldown(events: DataFrame, bars_apart: int, keys=("symbol",), idx: str = "bar_idx") -> DataFrame:
+    """Greedy thinning: keep an event more than ``bars_apart`` after the last kept one."""
+    nodes = events.select(*keys, idx).distinct().withColumn("until", c(idx) + bars_apart)
+    kept = reached(nodes, keys, idx).withColumn("accepted", F.lit(1))
+    return events.join(kept, [*keys, idx], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
 
 
-def admit(trades: DataFrame, keys=("symbol",), start: str = "bar_idx", end: str = "exit_idx", size: int = BLOCK_ROWS) -> DataFrame:
+def admit(trades: DataFrame, keys=("symbol",), start: str = "bar_idx", end: str = "exit_idx", first: tuple[str, ...] = ()) -> DataFrame:
     """One open position at a time: a trade is taken only after the last taken one has exited.
 
-    Trades go by start, exit and a hash of the row, so of those that start together one is taken; rows equal in every column count as one trade.
-    An open trade (null exit) blocks all later ones.
+    Of trades that start together one is taken: by the columns of ``first``, then exit, then a hash of the row; rows equal in every column count as one
+    trade. An open trade (null exit) blocks all later ones. Exits do not lie before starts.
     """
     trades = trades.withColumn("_id", F.xxhash64(*trades.columns))
-
-    def run(p, state):
-        free, taken = state[0], []
-        for a, b in zip(p[start].tolist(), p[end].tolist()):
-            taken.append(int(not a <= free))
-            free = (float("inf") if b != b or b is None else b) if taken[-1] else free
-        return {"admitted": taken, "_id": p["_id"]}, [free]
-    kept = chained(trades.select(*keys, start, end, "_id").distinct(), run, [float("nan")], "admitted int, _id long", [end], size, start, keys, [end, "_id"])
-    return trades.join(kept.select(*keys, "_id", "admitted"), [*keys, "_id"]).drop("_id")
+    heads = trades.groupBy(*keys, start).agg(F.min(F.struct(*first, F.coalesce(c(end), F.lit(1 << 60)).alias("_e"), c("_id"), c(end).alias("_end"))).alias("_h"))
+    heads = saved(heads.select(*keys, start, c("_h._id").alias("_id"), c("_h._end").alias("until")), "heads")
+    kept = heads.join(reached(heads, keys, start), [*keys, start]).select(*keys, start, "_id", F.lit(1).alias("admitted"))
+    return trades.join(kept, [*keys, start, "_id"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(0))).drop("_id")

@@ -266,7 +266,8 @@ def gap_context(d: DataFrame) -> DataFrame:
                  f"dist_to_{nm}_fvg_atr": z["dist"] / c("atr_pos"), f"dist_to_{nm}_fvg_ce_atr": F.abs(c("close") - z["ce"]) / c("atr_pos"),
                  f"inside_{nm}_fvg": flag(z["dist"] == 0), f"{nm}_fvg_ce_tapped": F.coalesce(z["ce_tapped"], F.lit(0)),
                  f"nearest_{nm}_is_ifvg": F.coalesce(z["inverted"], F.lit(0)), f"{nm}_fvg_mitigation": z["mitigation"], f"nearest_{nm}_fvg_lower": z["lower"],
-                 f"nearest_{nm}_fvg_upper": z["upper"], f"nearest_{nm}_fvg_formed": z["born"], f"nearest_{nm}_fvg_inversion": z["inversion_idx"]}
+                 f"nearest_{nm}_fvg_upper": z["upper"], f"nearest_{nm}_fvg_formed": z["born"], f"nearest_{nm}_fvg_inversion": z["inversion_idx"],
+                 f"nearest_{nm}_fvg_id": z["zone_id"], f"nearest_{nm}_fvg_ce": z["ce"], f"nearest_{nm}_fvg_by_disp": F.coalesce(z["by_disp"], F.lit(0))}
     return out.withColumns(cols).drop("_bull", "_bear")
 
 
@@ -298,7 +299,8 @@ def block_context(d: DataFrame) -> DataFrame:
     life, breakers = order_blocks(d)
     out = d
     for nm, rows in (("order_block", life), ("breaker", _block_life(breakers, d))):
-        near = F.struct(zone_distance(c("p_close"), c("lower"), c("upper")).alias("dist"), "born", "zone_id", "lower", "upper", "retests", "touch")
+        source = c("source_born") if nm == "breaker" else F.lit(None).cast("long").alias("source_born")
+        near = F.struct(zone_distance(c("p_close"), c("lower"), c("upper")).alias("dist"), "born", "zone_id", "lower", "upper", "retests", "touch", source)
         aggs = []
         for s, sd in ((1, "bull"), (-1, "bear")):
             on = c("side") == s
@@ -310,7 +312,9 @@ def block_context(d: DataFrame) -> DataFrame:
             z = c(f"_{sd}")
             cols |= {f"active_{sd}_{nm}_count": F.coalesce(f"active_{sd}_{nm}_count", F.lit(0)), f"dist_to_{sd}_{nm}_atr": z["dist"] / c("atr_pos"),
                      f"{sd}_{nm}_age_bars": c("bar_idx") - z["born"], f"{sd}_{nm}_retests": z["retests"], f"{sd}_{nm}_retest_event": F.coalesce(z["touch"], F.lit(0)),
-                     f"nearest_{sd}_{nm}_lower": z["lower"], f"nearest_{sd}_{nm}_upper": z["upper"]}
+                     f"nearest_{sd}_{nm}_lower": z["lower"], f"nearest_{sd}_{nm}_upper": z["upper"], f"nearest_{sd}_{nm}_id": z["zone_id"], f"nearest_{sd}_{nm}_formed": z["born"]}
+            if nm == "breaker":
+                cols[f"nearest_{sd}_breaker_source_formed"] = z["source_born"]
         out = out.withColumns(cols).drop("_bull", "_bear")
     return out
 

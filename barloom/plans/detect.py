@@ -211,15 +211,15 @@ def _(m):
 _ZD = "CASE WHEN b.close < z.lower THEN z.lower - b.close WHEN b.close > z.upper THEN b.close - z.upper ELSE 0.0 END"
 _PZ = "PARTITION BY symbol, zone_id ORDER BY step"
 GAP_SQL = f"""WITH g AS (SELECT *, {s_lag('high', 2)} AS h2, {s_lag('low', 2)} AS l2, greatest(coalesce(atr_14, 0) * 0.15, 0.25) AS need FROM pt_dsp),
- z AS (SELECT symbol, bar_idx AS born, bar_idx * 2 AS zone_id, 1 AS side, h2 AS lower, low AS upper FROM g WHERE low - h2 > need UNION ALL SELECT symbol, bar_idx, bar_idx * 2 + 1, -1, high, l2 FROM g WHERE l2 - high > need),
+ z AS (SELECT symbol, bar_idx AS born, bar_idx * 2 AS zone_id, 1 AS side, h2 AS lower, low AS upper, disp_bull AS by_disp FROM g WHERE low - h2 > need UNION ALL SELECT symbol, bar_idx, bar_idx * 2 + 1, -1, high, l2, disp_bear FROM g WHERE l2 - high > need),
  p AS (SELECT z.*, b.bar_idx, b.bar_idx - z.born AS step, b.close, {_ZD} AS dist, CASE WHEN b.bar_idx > z.born AND b.close < z.lower THEN -1 WHEN b.bar_idx > z.born AND b.close > z.upper THEN 1 END AS sig,
  CASE WHEN b.bar_idx > z.born THEN greatest(least(b.high, z.upper) - greatest(b.low, z.lower), 0) ELSE 0 END AS ov, CASE WHEN b.low <= (z.lower + z.upper) / 2 AND b.high >= (z.lower + z.upper) / 2 THEN 1 ELSE 0 END AS mid
  FROM z JOIN bars b ON b.symbol = z.symbol AND b.bar_idx BETWEEN z.born AND z.born + 120),
  q1 AS (SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER ({_PZ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), side) AS bef, coalesce(last_value(sig IGNORE NULLS) OVER ({_PZ} ROWS UNBOUNDED PRECEDING), side) AS dir,
  max(ov / greatest(upper - lower, 0.25)) OVER ({_PZ} ROWS UNBOUNDED PRECEDING) AS mit, max(CASE WHEN ov > 0 THEN mid ELSE 0 END) OVER ({_PZ} ROWS UNBOUNDED PRECEDING) AS tap FROM p),
- q2 AS (SELECT *, max(CASE WHEN sig <> bef THEN 1 ELSE 0 END) OVER ({_PZ} ROWS UNBOUNDED PRECEDING) AS inv FROM q1),
- a AS (SELECT symbol, bar_idx, {', '.join(f"count(*) FILTER (dir = {s}) AS n_{n}, sum(inv) FILTER (dir = {s}) AS i_{n}, min(row(dist, born, zone_id, lower, upper, mit, tap, inv)) FILTER (dir = {s}) AS z_{n}" for s, n in ((1, 'bull'), (-1, 'bear')))} FROM q2 GROUP BY 1, 2)
- SELECT d.symbol, d.bar_idx, {', '.join(f"coalesce(n_{n}, 0) AS active_{n}_fvg_count, coalesce(i_{n}, 0) AS active_{n}_ifvg_count, z_{n}[1] / atr_pos AS dist_to_{n}_fvg_atr, coalesce(z_{n}[8], 0) AS nearest_{n}_is_ifvg, coalesce(z_{n}[7], 0) AS {n}_fvg_ce_tapped, z_{n}[6] AS {n}_fvg_mitigation, z_{n}[4] AS nearest_{n}_fvg_lower, z_{n}[5] AS nearest_{n}_fvg_upper, z_{n}[2] AS nearest_{n}_fvg_formed" for n in ('bull', 'bear'))}
+ q2 AS (SELECT *, max(CASE WHEN sig <> bef THEN 1 ELSE 0 END) OVER ({_PZ} ROWS UNBOUNDED PRECEDING) AS inv, last_value(CASE WHEN sig <> bef THEN bar_idx END IGNORE NULLS) OVER ({_PZ} ROWS UNBOUNDED PRECEDING) AS inv_at FROM q1),
+ a AS (SELECT symbol, bar_idx, {', '.join(f"count(*) FILTER (dir = {s}) AS n_{n}, sum(inv) FILTER (dir = {s}) AS i_{n}, min(row(dist, born, zone_id, lower, upper, mit, tap, inv, inv_at, by_disp)) FILTER (dir = {s}) AS z_{n}" for s, n in ((1, 'bull'), (-1, 'bear')))} FROM q2 GROUP BY 1, 2)
+ SELECT d.symbol, d.bar_idx, {', '.join(f"coalesce(n_{n}, 0) AS active_{n}_fvg_count, coalesce(i_{n}, 0) AS active_{n}_ifvg_count, z_{n}[1] / atr_pos AS dist_to_{n}_fvg_atr, coalesce(z_{n}[8], 0) AS nearest_{n}_is_ifvg, coalesce(z_{n}[7], 0) AS {n}_fvg_ce_tapped, z_{n}[6] AS {n}_fvg_mitigation, z_{n}[4] AS nearest_{n}_fvg_lower, z_{n}[5] AS nearest_{n}_fvg_upper, z_{n}[2] AS nearest_{n}_fvg_formed, z_{n}[3] AS nearest_{n}_fvg_id, (z_{n}[4] + z_{n}[5]) / 2.0 AS nearest_{n}_fvg_ce, z_{n}[9] AS nearest_{n}_fvg_inversion, coalesce(z_{n}[10], 0) AS nearest_{n}_fvg_by_disp" for n in ('bull', 'bear'))}
  FROM pt_dsp d LEFT JOIN a ON a.symbol = d.symbol AND a.bar_idx = d.bar_idx"""
 
 
@@ -239,16 +239,16 @@ def life_sql(z, extra=""):
 
 
 def life_agg(rows, nm):
-    return f"SELECT symbol, bar_idx, {', '.join(f'count(*) FILTER (side = {s}) AS n_{n}, min(row(dist, born, zone_id, retests, CASE WHEN touch THEN 1 ELSE 0 END)) FILTER (side = {s}) AS z_{n}' for s, n in ((1, 'bull'), (-1, 'bear')))} FROM {rows} WHERE dead = 0 GROUP BY 1, 2"
+    return f"SELECT symbol, bar_idx, {', '.join(f'count(*) FILTER (side = {s}) AS n_{n}, min(row(dist, born, zone_id, retests, CASE WHEN touch THEN 1 ELSE 0 END, lower, upper, source_born)) FILTER (side = {s}) AS z_{n}' for s, n in ((1, 'bull'), (-1, 'bear')))} FROM {rows} WHERE dead = 0 GROUP BY 1, 2"
 
 
 BLOCK_SQL = f"""WITH t AS MATERIALIZED (SELECT *, {s_lag('open')} AS o1, {s_lag('close')} AS c1 FROM ({STRUCT_SQL})),
- ob AS (SELECT symbol, bar_idx AS born, bar_idx * 2 AS zone_id, 1 AS side, least(o1, c1) AS lower, greatest(o1, c1) AS upper FROM t WHERE disp_bull = 1 AND (bos_bull = 1 OR choch_bull = 1) AND c1 < o1
- UNION ALL SELECT symbol, bar_idx, bar_idx * 2 + 1, -1, least(o1, c1), greatest(o1, c1) FROM t WHERE disp_bear = 1 AND (bos_bear = 1 OR choch_bear = 1) AND c1 > o1),
+ ob AS (SELECT symbol, bar_idx AS born, bar_idx * 2 AS zone_id, 1 AS side, least(o1, c1) AS lower, greatest(o1, c1) AS upper, CAST(NULL AS BIGINT) AS source_born FROM t WHERE disp_bull = 1 AND (bos_bull = 1 OR choch_bull = 1) AND c1 < o1
+ UNION ALL SELECT symbol, bar_idx, bar_idx * 2 + 1, -1, least(o1, c1), greatest(o1, c1), NULL FROM t WHERE disp_bear = 1 AND (bos_bear = 1 OR choch_bear = 1) AND c1 > o1),
  l1 AS MATERIALIZED ({life_sql('ob', ', b.disp_bear = 1 AND b.choch_bear = 1 AND b.since_buy_sweep <= 5 AS sdn, b.disp_bull = 1 AND b.choch_bull = 1 AND b.since_sell_sweep <= 5 AS sup')}),
- br AS (SELECT symbol, bar_idx AS born, zone_id + bar_idx * 1000003 AS zone_id, -side AS side, lower, upper FROM l1 WHERE broke = 1 AND dead = 1 AND ((side = 1 AND sdn) OR (side = -1 AND sup))),
+ br AS (SELECT symbol, bar_idx AS born, zone_id + bar_idx * 1000003 AS zone_id, -side AS side, lower, upper, born AS source_born FROM l1 WHERE broke = 1 AND dead = 1 AND ((side = 1 AND sdn) OR (side = -1 AND sup))),
  l2 AS ({life_sql('br')}), a1 AS ({life_agg('l1', 'order_block')}), a2 AS ({life_agg('l2', 'breaker')})
- SELECT t.symbol, t.bar_idx, {', '.join(f"coalesce({a}.n_{s}, 0) AS active_{s}_{n}_count, {a}.z_{s}[1] / atr_pos AS dist_to_{s}_{n}_atr, t.bar_idx - {a}.z_{s}[2] AS {s}_{n}_age_bars, {a}.z_{s}[4] AS {s}_{n}_retests, coalesce({a}.z_{s}[5], 0) AS {s}_{n}_retest_event" for a, n in (('a1', 'order_block'), ('a2', 'breaker')) for s in ('bull', 'bear'))}
+ SELECT t.symbol, t.bar_idx, {', '.join(f"coalesce({a}.n_{s}, 0) AS active_{s}_{n}_count, {a}.z_{s}[1] / atr_pos AS dist_to_{s}_{n}_atr, t.bar_idx - {a}.z_{s}[2] AS {s}_{n}_age_bars, {a}.z_{s}[4] AS {s}_{n}_retests, coalesce({a}.z_{s}[5], 0) AS {s}_{n}_retest_event, {a}.z_{s}[6] AS nearest_{s}_{n}_lower, {a}.z_{s}[7] AS nearest_{s}_{n}_upper, {a}.z_{s}[3] AS nearest_{s}_{n}_id, {a}.z_{s}[2] AS nearest_{s}_{n}_formed, {a}.z_{s}[8] AS nearest_{s}_{n}_source_formed" for a, n in (('a1', 'order_block'), ('a2', 'breaker')) for s in ('bull', 'bear'))}
  FROM t LEFT JOIN a1 ON a1.symbol = t.symbol AND a1.bar_idx = t.bar_idx LEFT JOIN a2 ON a2.symbol = t.symbol AND a2.bar_idx = t.bar_idx"""
 
 

@@ -164,6 +164,24 @@ def test_greedy_rules_run_through_all_blocks(spark):
         if i > free:
             taken.append(i)
             free = i + 1 + i % 17
-    for size in (64, 10 ** 6):
-        assert sorted(r.bar_idx for r in cooldown(ev, 5, size=size).filter("accepted = 1").collect()) == kept
-        assert sorted(r.bar_idx for r in admit(tr, size=size).filter("admitted = 1").collect()) == taken
+    assert sorted(r.bar_idx for r in cooldown(ev, 5).filter("accepted = 1").collect()) == kept
+    assert sorted(r.bar_idx for r in admit(tr).filter("admitted = 1").collect()) == taken
+
+
+def test_greedy_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    from barloom.operators import blocks
+    from barloom.operators.labels import cooldown
+    tables = []
+    real = blocks.saved
+    monkeypatch.setattr(blocks, "saved", lambda df, name="step": tables.append(name) or real(df, name))
+    for n, most in ((60, 8), (3000, 13)):  # an event on every bar: accepted events are n / 3
+        tables.clear()
+        ev = spark.range(n).select(F.lit("A").alias("symbol"), F.col("id").alias("bar_idx"))
+        assert [r.bar_idx for r in cooldown(ev, 2).filter("accepted = 1").orderBy("bar_idx").collect()] == list(range(0, n, 3))
+        assert tables.count("hops") <= most
+
+
+def test_state_passes_over_blocks_without_rows(spark):
+    d = spark.createDataFrame([("A", i, 1.0) for i in (0, 1, 500, 501, 900)], "symbol string, bar_idx long, x double")
+    got = chained(d, lambda p, s: ({"total": p["x"].cumsum() + s[0]}, [s[0] + p["x"].sum()]), [0.0], "total double", ["x"], size=10)
+    assert {r.bar_idx: r.total for r in got.collect()} == {0: 1.0, 1: 2.0, 500: 3.0, 501: 4.0, 900: 5.0}
