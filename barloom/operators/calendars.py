@@ -55,9 +55,7 @@ def equity_early_close(day: Column) -> Column:
     y = F.year(day)
     july4, xmas = F.make_date(y, F.lit(7), F.lit(4)), F.make_date(y, F.lit(12), F.lit(24))
     before = (day == F.date_sub(july4, 1)) & F.weekday(july4).between(1, 4)
-    friday = day == F.date_add(clock.nth_weekday(y, 11, "FRI", 4), 1)
-    # the reference day is the fourth Friday of November plus one when that is a weekday, which it never is
-    black = friday & (F.weekday(day) < 5)
+    black = day == F.date_add(clock.nth_weekday(y, 11, "THU", 4), 1)
     eve = (day == xmas) & (F.weekday(xmas) < 5)
     return (before | black | eve) & ~equity_holidays(day)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import c, flag
+from barloom.operators.quantiles import quantiles
 
 
 def _long(row: DataFrame, names: list[str], stats: list[str]) -> DataFrame:
@@ -14,12 +15,13 @@ def _long(row: DataFrame, names: list[str], stats: list[str]) -> DataFrame:
 
 
 def fill_statistics(df: DataFrame, names: list[str]) -> DataFrame:
-    """Bias-corrected skewness and the fill it selects: median beyond 1, else the mean, 0 for an all-missing column; one pass."""
+    """Bias-corrected skewness and the fill it selects: median beyond 1, else the mean, 0 for an all-missing column."""
     aggs = []
     for n in names:
         k = F.count(n).cast("double")
-        aggs += [(F.skewness(n) * F.sqrt(k * (k - 1)) / F.when(k > 2, k - 2)).alias(f"skewness_{n}"), F.avg(n).alias(f"mean_{n}"), F.percentile(n, 0.5).alias(f"median_{n}")]
-    out = _long(df.agg(*aggs), names, ["skewness", "mean", "median"])
+        aggs += [(F.skewness(n) * F.sqrt(k * (k - 1)) / F.when(k > 2, k - 2)).alias(f"skewness_{n}"), F.avg(n).alias(f"mean_{n}")]
+    medians = quantiles(df, [], {f"median_{n}": (c(n), 0.5) for n in names})  # one row
+    out = _long(df.agg(*aggs).crossJoin(F.broadcast(medians)), names, ["skewness", "mean", "median"])
     return out.withColumn("fill", F.coalesce(F.when(F.abs("skewness") > 1, c("median")).otherwise(c("mean")), F.lit(0.0)))
 
 
@@ -91,10 +93,10 @@ def encode(df: DataFrame, column: str, fit, name: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, names: list[str], fit) -> DataFrame:
     """(x - median) / interquartile range, both from the fitting rows only."""
-    stats = df.filter(fit).agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{n}") for n in names])
+    stats = quantiles(df.filter(fit), [], {f"_q{k}_{n}": (c(n), p) for n in names for k, p in enumerate((0.25, 0.5, 0.75))})  # one row
     d = df.join(F.broadcast(stats))
-    iqr = lambda n: c(f"_q_{n}")[2] - c(f"_q_{n}")[0]
-    return d.withColumns({f"{n}_scaled": (c(n) - c(f"_q_{n}")[1]) / F.when(iqr(n) != 0, iqr(n)).otherwise(1.0) for n in names}).drop(*[f"_q_{n}" for n in names])
+    iqr = lambda n: c(f"_q2_{n}") - c(f"_q0_{n}")
+    return d.withColumns({f"{n}_scaled": (c(n) - c(f"_q1_{n}")) / F.when(iqr(n) != 0, iqr(n)).otherwise(1.0) for n in names}).drop(*[f"_q{k}_{n}" for n in names for k in range(3)])
 
 
 def walk_forward(df: DataFrame, first_share: float, purge: int, folds: int, idx: str = "bar_idx") -> DataFrame:

@@ -181,10 +181,9 @@ def exits(d, w, n=20, trail=0.5):
 
 
 def allocation(d, w):
-    d = d.withColumns({"_fast": pct(w, "close", 10), "_slow": pct(w, "close", 40), "_l": flag(c("close") < w.lag("close"))})
-    streak = F.when(c("_l") == 0, 0).otherwise(1 + F.when(w.lag("_l") == 1, 1).otherwise(0) + F.when((w.lag("_l") == 1) & (w.lag("_l", 2) == 1), 1).otherwise(0))
-    return d.withColumns({"dual_momentum": side((c("_fast") > 0) & (c("_slow") > 0), (c("_fast") < 0) & (c("_slow") < 0)), "scale_in_units": streak,
-                          "dca_buy": flag(c("bar_idx") % 24 == 0)}).drop("_fast", "_slow", "_l")
+    d = d.withColumns({"_fast": pct(w, "close", 10), "_slow": pct(w, "close", 40), "losing": flag(c("close") < w.lag("close"))})
+    return d.withColumns({"dual_momentum": side((c("_fast") > 0) & (c("_slow") > 0), (c("_fast") < 0) & (c("_slow") < 0)),
+                          "dca_buy": flag(c("bar_idx") % 24 == 0)}).drop("_fast", "_slow")
 
 
 def one_bar(d, w, size=0.5):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from barloom.operators.provenance import compare_summary, tolerant_compare
 from barloom.operators.recursive import wilder_atr
 from barloom.operators.relate import asof, path
 from barloom.operators.resample import complete
+from barloom.operators.quantiles import quantiles
 from barloom.plans.base import DAYCLOSE, NYSQL
 from barloom.plans.futures import prof, rolls, schedule, sessions
 from barloom.plans.registry import (S, TR, query, s_div, s_ewm, s_flag, s_lag, s_last, s_mean, shared)
@@ -107,13 +110,19 @@ def _(m):
                             "move": (F.coalesce(c("r.px"), last["p_close"]) - c("close")) * c("side")})
 
 
+REPLICATES = 100  #: bootstrap replicates
+
+
 # ---- reports ----------------------------------------------------------------------------------------------------------------
 @query("ag27_bootstrap_interval", "model_id:s low high")
 def _(m):
     """Poisson(1) weights from a hash per replicate; scores are counted per step first, so replicates multiply steps."""
-    p = predictions(m).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    u = F.pmod(F.xxhash64("model_id", "symbol", "bar_idx", "b"), F.lit(1_000_000)) / 1_000_000.0
-    w = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
+    p = predictions(m).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
+    u = F.pmod(F.xxhash64("model_id", "symbol", "bar_idx", "b"), F.lit(1 << 40)) / float(1 << 40)
+    below, w, term = 0.0, F.lit(0), math.exp(-1)
+    for k in range(16):  # weight k + 1 and more beyond the sum of the first terms; 16 terms leave less than a step of u
+        below += term / math.factorial(k)
+        w = w + F.when(u >= below, 1).otherwise(0)
     g = p.withColumn("w", w).groupBy("model_id", "b", "probability").agg(F.sum(c("w") * c("target")).alias("p"), F.sum("w").alias("n"))
     from barloom.operators.blocks import running
     r = running(mt.by_score(g, ("model_id", "b")), sums={"tp": c("p"), "all": c("n")}, keys=("model_id", "b"), order="_o")
@@ -276,8 +285,8 @@ def _(m):
     d = carry_last(d, {"_before": c("_far")}, keys=("symbol", "family"), strict=True)
     hold, stop = c("exit_idx") - c("bar_idx"), c("atr") / c("close")
     return d.groupBy("family", "session_regime").agg(
-        F.count(F.lit(1)).alias("events"), F.percentile(stop, 0.5).alias("stop_median"), F.percentile(stop, 0.9).alias("stop_p90"), F.percentile(hold, 0.5).alias("hold_median"),
-        F.max(hold).alias("hold_max"), F.sum(flag(c("_before") >= c("bar_idx"))).alias("overlapping"))
+        F.count(F.lit(1)).alias("events"), F.max(hold).alias("hold_max"), F.sum(flag(c("_before") >= c("bar_idx"))).alias("overlapping")).join(
+        quantiles(d, ["family", "session_regime"], {"stop_median": (stop, 0.5), "stop_p90": (stop, 0.9), "hold_median": (hold, 0.5)}), ["family", "session_regime"], "left")
 
 
 @query("sm08_settle_on_later_bar", KEY + "side:l settle_idx:l move", "SELECT e.symbol, e.bar_idx, e.side, b.bar_idx AS settle_idx, (b.close - e.close) * e.side AS move FROM ev e JOIN bars b ON b.symbol = e.symbol AND b.bar_idx = e.bar_idx + 20")

@@ -190,15 +190,21 @@ def _(m):
     return outcomes(m)
 
 
-@query("outcome02_forward_response", KEY + "h:l move mfe mae", "SELECT e.symbol, e.bar_idx, h.h, arg_max((b.close - e.close) * e.side, b.bar_idx) AS move, max(CASE WHEN e.side = 1 THEN b.high - e.close ELSE e.close - b.low END) AS mfe, min(CASE WHEN e.side = 1 THEN b.low - e.close ELSE e.close - b.high END) AS mae FROM ev e CROSS JOIN (VALUES (1), (3), (6), (12)) h(h) JOIN bars b ON b.symbol = e.symbol AND b.bar_idx BETWEEN e.bar_idx + 1 AND e.bar_idx + h.h GROUP BY 1, 2, 3 HAVING count(*) = h.h")
+@query("outcome02_forward_response", KEY + "h:l bars:l status:s move move_pct move_log move_atr mfe mae", "SELECT *, CASE WHEN bars = h THEN mv END AS move, CASE WHEN bars = h THEN mv / close END AS move_pct, CASE WHEN bars = h AND px > 0 AND close > 0 THEN side * ln(px / close) END AS move_log, CASE WHEN bars = h AND atr > 0 THEN mv / atr END AS move_atr, CASE WHEN bars = h THEN 'COMPLETE' WHEN bars = 0 THEN 'NO_ENTRY' ELSE 'INCOMPLETE' END AS status FROM (SELECT e.symbol, e.bar_idx, e.side, e.close, e.atr, h.h, count(b.bar_idx) AS bars, arg_max(b.close, b.bar_idx) AS px, arg_max((b.close - e.close) * e.side, b.bar_idx) AS mv, max(CASE WHEN e.side = 1 THEN b.high - e.close ELSE e.close - b.low END) AS mfe, min(CASE WHEN e.side = 1 THEN b.low - e.close ELSE e.close - b.high END) AS mae FROM ev e CROSS JOIN (VALUES (1), (3), (6), (12), (24), (48)) h(h) LEFT JOIN bars b ON b.symbol = e.symbol AND b.bar_idx BETWEEN e.bar_idx + 1 AND e.bar_idx + h.h GROUP BY 1, 2, 3, 4, 5, 6)")
 def _(m):
     from barloom.operators.relate import path
-    p = path(events(m), m.bars(), c("bar_idx") + 1, c("bar_idx") + 12, ("high", "low", "close"))
+    horizons = (1, 3, 6, 12, 24, 48)
+    every = F.array(*[F.lit(x) for x in horizons])
+    e = events(m).select("symbol", "bar_idx", "side", "close", "atr")
+    p = path(e, m.bars(), c("bar_idx") + 1, c("bar_idx") + horizons[-1], ("high", "low", "close"))
     up = c("side") == 1
     p = p.withColumns({"_f": F.when(up, c("p_high") - c("close")).otherwise(c("close") - c("p_low")), "_a": F.when(up, c("p_low") - c("close")).otherwise(c("close") - c("p_high")), "_m": (c("p_close") - c("close")) * c("side")})
-    p = p.withColumn("h", F.explode(F.filter(F.array(*[F.lit(x) for x in (1, 3, 6, 12)]), lambda h: h > c("step"))))
-    g = p.groupBy("symbol", "bar_idx", "h").agg(F.max_by("_m", "step").alias("move"), F.max("_f").alias("mfe"), F.min("_a").alias("mae"), F.count(F.lit(1)).alias("n"))
-    return g.filter("n = h")
+    p = p.withColumn("h", F.explode(F.filter(every, lambda h: h > c("step"))))
+    g = p.groupBy("symbol", "bar_idx", "side", "h").agg(F.max_by("_m", "step").alias("_move"), F.max_by("p_close", "step").alias("_px"), F.max("_f").alias("mfe"), F.min("_a").alias("mae"), F.count(F.lit(1)).alias("bars"))
+    g = e.withColumn("h", F.explode(every)).join(g, ["symbol", "bar_idx", "side", "h"], "left").withColumn("bars", F.coalesce("bars", F.lit(0)))  # events without a whole path stay, with a status
+    done = c("bars") == c("h")
+    return g.withColumns({"status": F.when(done, "COMPLETE").when(c("bars") == 0, "NO_ENTRY").otherwise("INCOMPLETE"), "move": F.when(done, c("_move")), "move_pct": F.when(done, c("_move") / c("close")),
+                          "move_log": F.when(done & (c("_px") > 0) & (c("close") > 0), c("side") * F.log(c("_px") / c("close"))), "move_atr": F.when(done & (c("atr") > 0), c("_move") / c("atr"))})
 
 
 SPREAD = [("asia", 1.2), ("london", 0.8), ("overlap", 0.6), ("new_york", 0.9), ("off_hours", 1.5)]
@@ -273,10 +279,11 @@ def _(m):
     return labelled(m).groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("events"), F.avg(flag(c("outcome") == "tp")).alias("positive_rate"))
 
 
-@query("ag52_leakage_audit", "family:s events:l crossing:l max_window:l", "SELECT family, count(*) AS events, sum(CASE WHEN (bar_idx < 400 AND exit_idx >= 400) OR (bar_idx < 550 AND exit_idx >= 550) THEN 1 ELSE 0 END) AS crossing, max(exit_idx - bar_idx) AS max_window FROM lb01 WHERE outcome IS NOT NULL GROUP BY 1")
+@query("ag52_leakage_audit", "family:s events:l crossing:l max_window:l", "SELECT family, count(*) AS events, sum(CASE WHEN (bar_idx < t1 AND exit_idx >= t1) OR (bar_idx < t2 AND exit_idx >= t2) THEN 1 ELSE 0 END) AS crossing, max(exit_idx - bar_idx) AS max_window FROM lb01 JOIN bounds USING (symbol) WHERE outcome IS NOT NULL GROUP BY 1")
 def _(m):
-    cross = ((c("bar_idx") < 400) & (c("exit_idx") >= 400)) | ((c("bar_idx") < 550) & (c("exit_idx") >= 550))
-    return labelled(m).filter("outcome is not null").groupBy("family").agg(F.count(F.lit(1)).alias("events"), F.sum(flag(cross)).alias("crossing"), F.max(c("exit_idx") - c("bar_idx")).alias("max_window"))
+    from barloom.plans.storage import bounds
+    cross = ((c("bar_idx") < c("t1")) & (c("exit_idx") >= c("t1"))) | ((c("bar_idx") < c("t2")) & (c("exit_idx") >= c("t2")))
+    return labelled(m).join(bounds(m), "symbol").filter("outcome is not null").groupBy("family").agg(F.count(F.lit(1)).alias("events"), F.sum(flag(cross)).alias("crossing"), F.max(c("exit_idx") - c("bar_idx")).alias("max_window"))
 
 
 @query("ag34_promotion_gate", "model_id:s accepted:l", "SELECT model_id, CASE WHEN bool_and(ok) THEN 1 ELSE 0 END AS accepted FROM (SELECT model_id, session_regime, avg(target) >= 0.45 AS ok FROM pred GROUP BY 1, 2) GROUP BY 1")

@@ -19,17 +19,18 @@ from barloom.plans.detect import session_eq_sql
 from barloom.plans.futures import schedule
 from barloom.plans.policy import costed, outcomes
 from barloom.plans.registry import (S, query, s_div, s_flag, s_lag, s_last, s_mean, shared)
-from barloom.plans.storage import SPLIT
+from barloom.operators.quantiles import quantiles
+from barloom.plans.storage import SPLIT, bounds
 from barloom.plans.trade import GRID, conc, events, grid, labelled, predictions, quality, trades, zoned
 
 KEY = "symbol:s bar_idx:l "
 PK = "model_id:s symbol:s bar_idx:l "
 
 
-@query("jn07_prediction_to_source", PK + "split:s probability", f"SELECT p.model_id, p.symbol, b.bar_idx, b.split, p.probability FROM (SELECT model_id, symbol, probability, row_number() OVER (PARTITION BY model_id, symbol ORDER BY bar_idx) - 1 AS dev_row FROM pred WHERE bar_idx >= 400) p JOIN (SELECT symbol, bar_idx, {SPLIT} AS split, row_number() OVER ({S}) - 1 AS dev_row FROM bars WHERE bar_idx >= 400) b USING (symbol, dev_row)")
+@query("jn07_prediction_to_source", PK + "split:s probability", f"SELECT p.model_id, p.symbol, b.bar_idx, b.split, p.probability FROM (SELECT model_id, symbol, probability, row_number() OVER (PARTITION BY model_id, symbol ORDER BY bar_idx) - 1 AS dev_row FROM pred) p JOIN (SELECT symbol, bar_idx, {SPLIT} AS split, row_number() OVER ({S}) - 1 AS dev_row FROM bars JOIN bounds USING (symbol)) b USING (symbol, dev_row)")
 def _(m):
-    d = number_rows(m.bars().filter("bar_idx >= 400"), name="dev_row").select("symbol", "bar_idx", "dev_row", F.expr(SPLIT).alias("split"))
-    p = number_rows(predictions(m).filter("bar_idx >= 400"), keys=("model_id", "symbol"), name="dev_row").select("model_id", "symbol", "dev_row", "probability")
+    d = number_rows(m.bars(), name="dev_row").join(bounds(m), "symbol").select("symbol", "bar_idx", "dev_row", F.expr(SPLIT).alias("split"))
+    p = number_rows(predictions(m), keys=("model_id", "symbol"), name="dev_row").select("model_id", "symbol", "dev_row", "probability")
     return p.join(d, ["symbol", "dev_row"])
 
 
@@ -170,10 +171,10 @@ def _(m):
     return d.withColumn("va_width_z", F.when(c("s") > 0, (c("width") - c("mn")) / F.when(c("s") > 0, c("s"))))
 
 
-@query("ag23_walk_forward_efficiency", "symbol:s efficiency:d4 profitable_share", "SELECT symbol, avg(pnl) FILTER (bar_idx >= 400) / abs(avg(pnl) FILTER (bar_idx < 400)) AS efficiency, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) FILTER (bar_idx >= 400) AS profitable_share FROM trades GROUP BY 1")
+@query("ag23_walk_forward_efficiency", "symbol:s efficiency:d4 profitable_share", "SELECT symbol, avg(pnl) FILTER (bar_idx >= t1) / abs(avg(pnl) FILTER (bar_idx < t1)) AS efficiency, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) FILTER (bar_idx >= t1) AS profitable_share FROM trades JOIN bounds USING (symbol) GROUP BY 1")
 def _(m):
-    t, tr = c("bar_idx") >= 400, F.abs(F.avg(F.when(c("bar_idx") < 400, c("pnl"))))
-    return trades(m).groupBy("symbol").agg((F.avg(F.when(t, c("pnl"))) / F.when(tr > 0, tr)).alias("efficiency"), F.avg(F.when(t, flag(c("pnl") > 0))).alias("profitable_share"))
+    t, tr = c("bar_idx") >= c("t1"), F.abs(F.avg(F.when(c("bar_idx") < c("t1"), c("pnl"))))
+    return trades(m).join(bounds(m), "symbol").groupBy("symbol").agg((F.avg(F.when(t, c("pnl"))) / F.when(tr > 0, tr)).alias("efficiency"), F.avg(F.when(t, flag(c("pnl") > 0))).alias("profitable_share"))
 
 
 @query("ag29_emitted_trade_metrics", "model_id:s trades:l gross net", "SELECT p.model_id, count(*) AS trades, avg(t.pnl) AS gross, avg(t.pnl - t.cost) AS net FROM costed t JOIN pred p ON p.symbol = t.symbol AND p.bar_idx = t.bar_idx WHERE p.probability >= 0.5 GROUP BY 1")
@@ -187,10 +188,10 @@ def _(m):
     return outcomes(m).groupBy("status").agg(F.count(F.lit(1)).alias("signals"), F.coalesce(F.sum("move"), F.lit(0.0)).alias("total_move"))
 
 
-@query("ag37_policy_pair_census", "fold:s base_n:l filtered_n:l rejected_pnl", f"SELECT {SPLIT} AS fold, count(*) AS base_n, count(*) FILTER (family = 'sweep') AS filtered_n, sum(pnl) - coalesce(sum(pnl) FILTER (family = 'sweep'), 0) AS rejected_pnl FROM trades GROUP BY 1")
+@query("ag37_policy_pair_census", "fold:s base_n:l filtered_n:l rejected_pnl", f"SELECT {SPLIT} AS fold, count(*) AS base_n, count(*) FILTER (family = 'sweep') AS filtered_n, sum(pnl) - coalesce(sum(pnl) FILTER (family = 'sweep'), 0) AS rejected_pnl FROM trades JOIN bounds USING (symbol) GROUP BY 1")
 def _(m):
     s = c("family") == "sweep"
-    return trades(m).groupBy(F.expr(SPLIT).alias("fold")).agg(F.count(F.lit(1)).alias("base_n"), F.sum(flag(s)).alias("filtered_n"), (F.sum("pnl") - F.coalesce(F.sum(F.when(s, c("pnl"))), F.lit(0.0))).alias("rejected_pnl"))
+    return trades(m).join(bounds(m), "symbol").groupBy(F.expr(SPLIT).alias("fold")).agg(F.count(F.lit(1)).alias("base_n"), F.sum(flag(s)).alias("filtered_n"), (F.sum("pnl") - F.coalesce(F.sum(F.when(s, c("pnl"))), F.lit(0.0))).alias("rejected_pnl"))
 
 
 @query("ag40_setup_fire_rates", "family:s side:l fires:l sessions:l per_session", "SELECT family, side, count(*) AS fires, count(DISTINCT (symbol, CAST(ts AS DATE))) AS sessions, count(*) * 1.0 / count(DISTINCT (symbol, CAST(ts AS DATE))) AS per_session FROM ev GROUP BY 1, 2")
@@ -206,9 +207,12 @@ def _(m):
 
 
 @query("ag47_binned_mutual_information", "feature:s mi", """SELECT 'volume' AS feature, sum(p * ln(p / (px * py))) AS mi FROM (SELECT n * 1.0 / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY b) * 1.0 / sum(n) OVER () AS px, sum(n) OVER (PARTITION BY y) * 1.0 / sum(n) OVER () AS py FROM (
- SELECT least(volume, 9) AS b, CASE WHEN close > open THEN 1 ELSE 0 END AS y, count(*) AS n FROM bars GROUP BY 1, 2))""")
+ SELECT len(list_filter(qs, lambda q: q < volume)) AS b, CASE WHEN close > open THEN 1 ELSE 0 END AS y, count(*) AS n FROM bars CROSS JOIN (SELECT quantile_cont(volume, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM bars) GROUP BY 1, 2))""")
 def _(m):
-    return pr.mutual_information(m.bars().withColumns({"b": F.least("volume", F.lit(9.0)), "y": flag(c("close") > c("open"))}), "b", "y", "volume")
+    """Volume by deciles of the whole table; their nine bounds are one row."""
+    edges = F.broadcast(quantiles(m.bars(), [], {f"q{i}": (c("volume"), i / 10) for i in range(1, 10)}))
+    b = F.size(F.filter(F.array(*[c(f"q{i}") for i in range(1, 10)]), lambda q: q < c("volume")))
+    return pr.mutual_information(m.bars().crossJoin(edges).withColumns({"b": b, "y": flag(c("close") > c("open"))}), "b", "y", "volume")
 
 
 @query("ag48_dataset_audit", "feature:s rows:l present:l", "SELECT feature, count(*) AS rows, count(v) AS present FROM (SELECT unnest(['atr_14', 'atr_50', 'rolling_vol_60']) AS feature, unnest([atr_14, atr_50, rolling_vol_60]) AS v FROM vol) GROUP BY 1")
@@ -222,9 +226,8 @@ def _(m):
 def _(m):
     from barloom.plans.futures import rolls
     r = rolls(m)
-    med = r.groupBy("symbol").agg(F.percentile(F.abs("roll_spread"), 0.5).alias("med"))
-    r = r.join(med, "symbol").withColumn("dev", F.abs(F.abs("roll_spread") - c("med")))
-    r = r.join(r.groupBy("symbol").agg(F.percentile("dev", 0.5).alias("mad")), "symbol")
+    r = r.join(quantiles(r, ["symbol"], {"med": (F.abs("roll_spread"), 0.5)}), "symbol").withColumn("dev", F.abs(F.abs("roll_spread") - c("med")))
+    r = r.join(quantiles(r, ["symbol"], {"mad": (c("dev"), 0.5)}), "symbol")
     return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("rolls"), F.avg("roll_spread").alias("mean_step"), F.max("med").alias("median_abs_step"), F.sum(flag(F.abs("roll_spread") > c("med") + 5 * c("mad"))).alias("flagged"))
 
 
@@ -278,14 +281,14 @@ def _(m):
     return m.bars().withColumn("known_ts", F.timestamp_seconds(F.unix_timestamp("ts") + 3600))
 
 
-@query("ml02_categorical_encoding", KEY + "code:l", "SELECT s.symbol, s.bar_idx, coalesce(k.code, -1) AS code FROM sess s LEFT JOIN (SELECT session_regime, row_number() OVER (ORDER BY session_regime) - 1 AS code FROM (SELECT DISTINCT session_regime FROM sess WHERE bar_idx < 10)) k USING (session_regime)")
+@query("ml02_categorical_encoding", KEY + "code:l", "SELECT s.symbol, s.bar_idx, coalesce(k.code, -1) AS code FROM sess s LEFT JOIN (SELECT session_regime, row_number() OVER (ORDER BY session_regime) - 1 AS code FROM (SELECT DISTINCT session_regime FROM sess JOIN bounds USING (symbol) WHERE bar_idx < t1)) k USING (session_regime)")
 def _(m):
-    return pr.encode(ff.session(m.bars()), "session_regime", c("bar_idx") < 10, "code")
+    return pr.encode(ff.session(m.bars()).join(bounds(m), "symbol"), "session_regime", c("bar_idx") < c("t1"), "code")
 
 
-@query("ml04_scaling", KEY + "close_scaled", "SELECT b.symbol, b.bar_idx, (close - med) / iqr AS close_scaled FROM bars b CROSS JOIN (SELECT quantile_cont(close, 0.5) AS med, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS iqr FROM bars WHERE bar_idx < 400)")
+@query("ml04_scaling", KEY + "close_scaled", "SELECT b.symbol, b.bar_idx, (close - med) / iqr AS close_scaled FROM bars b CROSS JOIN (SELECT quantile_cont(close, 0.5) AS med, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS iqr FROM bars JOIN bounds USING (symbol) WHERE bar_idx < t1)")
 def _(m):
-    return pr.robust_scale(m.bars(), ["close"], c("bar_idx") < 400)
+    return pr.robust_scale(m.bars().join(bounds(m), "symbol"), ["close"], c("bar_idx") < c("t1"))
 
 
 @query("ml06_purged_walk_forward", "symbol:s fold:l role:s rows:l", """SELECT b.symbol, k AS fold, CASE WHEN bar_idx < a + w * k - 24 THEN 'train' ELSE 'val' END AS role, count(*) AS rows FROM bars b
@@ -308,4 +311,4 @@ def _(m):
 
 @query("ml10_probability_calibration", "model_id:s bar_idx:l symbol:s calibrated")
 def _(m):
-    return pr.calibrate(predictions(m), c("bar_idx") < 500)
+    return pr.calibrate(predictions(m).join(bounds(m), "symbol"), c("bar_idx") < c("t1"))

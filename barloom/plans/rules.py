@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from barloom.functions.cols import c
 from barloom.operators import features as ff
 from barloom.operators import strategies as st
-from barloom.operators.blocks import blocked, chained
+from barloom.operators.blocks import blocked, carry_last, chained
 from barloom.operators.recursive import adaptive, parabolic
-from barloom.plans.registry import (S, TR, over, query, s_div, s_flag, s_lag, s_max, s_mean, s_min, s_std, s_sum)
+from barloom.plans.registry import (S, TR, over, query, s_div, s_flag, s_lag, s_last, s_max, s_mean, s_min, s_std, s_sum)
 
 KEY = "symbol:s bar_idx:l "
 
@@ -204,10 +204,11 @@ def _(m):
     return chained(d, run_, [float("nan")] * 4, "stop double, trend int", ["high", "low", *lags])
 
 
-@query("ts18_allocation_rules", KEY + "dual_momentum:s scale_in_units:l dca_buy:l", f"""SELECT *, {sd('f > 0 AND s > 0', 'f < 0 AND s < 0')} AS dual_momentum, CASE WHEN l = 0 THEN 0 ELSE 1 + CASE WHEN l1 = 1 THEN 1 ELSE 0 END + CASE WHEN l1 = 1 AND l2 = 1 THEN 1 ELSE 0 END END AS scale_in_units,
- {s_flag('bar_idx % 24 = 0')} AS dca_buy FROM (SELECT *, close / {s_lag('close', 10)} - 1 AS f, close / {s_lag('close', 40)} - 1 AS s, {s_lag('l')} AS l1, {s_lag('l', 2)} AS l2 FROM (SELECT *, {s_flag(f"close < {s_lag('close')}")} AS l FROM bars))""")
+@query("ts18_allocation_rules", KEY + "dual_momentum:s scale_in_units:l dca_buy:l", f"""SELECT *, {sd('f > 0 AND s > 0', 'f < 0 AND s < 0')} AS dual_momentum, bar_idx - {s_last('CASE WHEN l = 0 THEN bar_idx END')} AS scale_in_units,
+ {s_flag('bar_idx % 24 = 0')} AS dca_buy FROM (SELECT *, close / {s_lag('close', 10)} - 1 AS f, close / {s_lag('close', 40)} - 1 AS s FROM (SELECT *, {s_flag(f"close < {s_lag('close')}")} AS l FROM bars))""")
 def _(m):
-    return run(m, st.allocation, 41)
+    d = carry_last(run(m, st.allocation, 41), {"_held": F.when(c("losing") == 0, c("bar_idx"))})  # a losing streak may be of any length
+    return d.withColumn("scale_in_units", c("bar_idx") - c("_held"))
 
 
 @query("ts19_one_bar_return", KEY + "bar_return_signal:s", f"SELECT *, {sd('r > 0.5', 'r < -0.5')} AS bar_return_signal FROM (SELECT *, close / {s_lag('close')} - 1 AS r FROM bars)")

@@ -81,21 +81,29 @@ def _(m):
     return m.spark.read.schema("bar_idx long, atr_14 double, symbol string").parquet(p)
 
 
-SPLIT = "CASE WHEN bar_idx < 400 THEN 'train' WHEN bar_idx < 550 THEN 'val' ELSE 'test' END"
+# parts by each symbol's own length: the first six tenths of its bars, the next two, the rest
+SPLIT = "CASE WHEN bar_idx < t1 THEN 'train' WHEN bar_idx < t2 THEN 'val' ELSE 'test' END"
+shared("bounds", "SELECT symbol, count(*) * 6 // 10 AS t1, count(*) * 8 // 10 AS t2 FROM bars GROUP BY 1")
+
+
+def bounds(m):
+    """(symbol, t1, t2): where validation and test begin."""
+    return m.bars().groupBy("symbol").agg(F.expr("count(*) * 6 div 10").alias("t1"), F.expr("count(*) * 8 div 10").alias("t2"))
 
 
 def _splits(m):
-    return m.bars().withColumns({"split": F.expr(SPLIT), "target": F.lit("up"), "label": flag(c("close") > c("open"))}).select("symbol", "bar_idx", "close", "label", "target", "split")
+    d = m.bars().join(bounds(m), "symbol")
+    return d.withColumns({"split": F.expr(SPLIT), "target": F.lit("up"), "label": flag(c("close") > c("open"))}).select("symbol", "bar_idx", "close", "label", "target", "split")
 
 
-@query("src10_split_sink", "split:s rows:l positives:l", f"SELECT {SPLIT} AS split, count(*) AS rows, sum(CASE WHEN close > open THEN 1 ELSE 0 END) AS positives FROM bars GROUP BY 1")
+@query("src10_split_sink", "split:s rows:l positives:l", f"SELECT {SPLIT} AS split, count(*) AS rows, sum(CASE WHEN close > open THEN 1 ELSE 0 END) AS positives FROM bars JOIN bounds USING (symbol) GROUP BY 1")
 def _(m):
     p = files.scratch(m.spark, "splits")
     _splits(m).write.partitionBy("target", "split").parquet(p)
     return m.spark.read.parquet(p).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"))
 
 
-@query("src11_split_scan", KEY + "close label:l", f"SELECT *, CASE WHEN close > open THEN 1 ELSE 0 END AS label FROM bars WHERE bar_idx >= 550")
+@query("src11_split_scan", KEY + "close label:l", f"SELECT *, CASE WHEN close > open THEN 1 ELSE 0 END AS label FROM bars JOIN bounds USING (symbol) WHERE bar_idx >= t2")
 def _(m):
     p = files.scratch(m.spark, "splits")
     _splits(m).write.partitionBy("target", "split").parquet(p)
@@ -118,13 +126,17 @@ def _(m):
     return m.spark.read.parquet(p).filter("`table` = 'orders' and year = 1997 and month = 5")
 
 
-@query("src13_archive_restore", "strategy:s rows:l total:d2", """SELECT 'ignore' AS strategy, count(*) AS rows, sum(o_totalprice) AS total FROM orders WHERE year(o_orderdate) = 1997 UNION ALL
- SELECT 'replace', count(*), sum(CASE WHEN month(o_orderdate) = 5 THEN o_totalprice + 1 ELSE o_totalprice END) FROM orders WHERE year(o_orderdate) = 1997""")
+@query("src13_archive_restore", "strategy:s year:l month:l rows:l total:d2", """SELECT strategy, year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS rows, sum(CASE WHEN strategy = 'replace' OR (strategy = 'ignore' AND gone) OR (strategy = 'abort' AND gone) THEN o_totalprice + 1 ELSE o_totalprice END) AS total
+ FROM (SELECT *, month(o_orderdate) % 3 = 0 AS gone FROM orders) CROSS JOIN (VALUES ('ignore'), ('replace'), ('abort')) s(strategy) GROUP BY 1, 2, 3""")
 def _(m):
-    o = _orders(m).filter("year(ts) = 1997")
-    arch = o.filter("month(ts) = 5").withColumn("o_totalprice", c("o_totalprice") + 1)
-    n = lambda s: files.restore(o, arch, ["o_orderkey"], s).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")).withColumn("strategy", F.lit(s))
-    return n("ignore").unionByName(n("replace"))
+    """Every month is archived, every third one purged; all are restored. The abort strategy brings back only months that are gone, so nothing clashes."""
+    p = files.scratch(m.spark, "archive")
+    o, gone = _orders(m), F.month("ts") % 3 == 0
+    o.withColumn("o_totalprice", c("o_totalprice") + 1).withColumns({"year": F.year("ts"), "month": F.month("ts")}).write.partitionBy("table", "year", "month").parquet(p)
+    arch, kept = m.spark.read.schema("o_orderkey long, ts timestamp, o_totalprice double, `table` string, year int, month int").parquet(p), o.filter(~gone)
+    back = lambda s: files.restore(kept, arch.filter("month % 3 = 0") if s == "abort" else arch, ["o_orderkey"], s).withColumn("strategy", F.lit(s))
+    every = back("ignore").unionByName(back("replace")).unionByName(back("abort"))
+    return every.groupBy("strategy", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total"))
 
 
 _ARCH = "(year(o_orderdate) < 1997 AND month(o_orderdate) <> 3)"
@@ -275,13 +287,13 @@ def _(m):
     return balanced_sample(d, ["symbol"], "y", ["h", "bar_idx"], 2.0).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("positives"))
 
 
-@query("ag42_class_balance", "split:s rows:l positives:l imbalance", f"SELECT split, count(*) AS rows, sum(y) AS positives, (count(*) - sum(y)) / sum(y) AS imbalance FROM (SELECT {SPLIT} AS split, CASE WHEN close > open THEN 1 ELSE 0 END AS y FROM bars) GROUP BY 1")
+@query("ag42_class_balance", "split:s rows:l positives:l imbalance", f"SELECT split, count(*) AS rows, sum(y) AS positives, (count(*) - sum(y)) / sum(y) AS imbalance FROM (SELECT {SPLIT} AS split, CASE WHEN close > open THEN 1 ELSE 0 END AS y FROM bars JOIN bounds USING (symbol)) GROUP BY 1")
 def _(m):
     g = _splits(m).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"))
     return g.withColumn("imbalance", F.when(c("positives") > 0, (c("rows") - c("positives")) / F.when(c("positives") > 0, c("positives"))))
 
 
-@query("ag43_split_geometry", "symbol:s split:s first_idx:l last_idx:l rows:l", f"SELECT symbol, {SPLIT} AS split, min(bar_idx) AS first_idx, max(bar_idx) AS last_idx, count(*) AS rows FROM bars GROUP BY 1, 2")
+@query("ag43_split_geometry", "symbol:s split:s first_idx:l last_idx:l rows:l", f"SELECT symbol, {SPLIT} AS split, min(bar_idx) AS first_idx, max(bar_idx) AS last_idx, count(*) AS rows FROM bars JOIN bounds USING (symbol) GROUP BY 1, 2")
 def _(m):
     return _splits(m).groupBy("symbol", "split").agg(F.min("bar_idx").alias("first_idx"), F.max("bar_idx").alias("last_idx"), F.count(F.lit(1)).alias("rows"))
 
@@ -290,4 +302,4 @@ def _(m):
 def _(m):
     from barloom.operators.prepare import train_and_score
     d = blocked(m.bars(), lambda d, w: ff.volatility(ff.price_action(d, w), w).withColumn("label", flag(w.lead("close") > c("close")).cast("double")), before=61, after=1)
-    return train_and_score(d.filter("atr_50 is not null and close_return_10 is not null"), ["close_return_1", "close_return_5", "body_to_range", "atr_ratio_14_50"], "label", "bar_idx < 500")
+    return train_and_score(d.join(bounds(m), "symbol").filter("atr_50 is not null and close_return_10 is not null"), ["close_return_1", "close_return_5", "body_to_range", "atr_ratio_14_50"], "label", "bar_idx < t1")

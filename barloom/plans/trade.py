@@ -11,6 +11,7 @@ from barloom.operators import labels as lb
 from barloom.operators import metrics as mt
 from barloom.operators.blocks import blocked
 from barloom.operators.select import top_k
+from barloom.operators.quantiles import quantiles
 from barloom.plans.registry import (S, query, s_agg, s_div, s_flag, s_lag, s_last, s_lead, s_mean, s_std, shared)
 
 KEY = "symbol:s bar_idx:l "
@@ -152,8 +153,8 @@ def _(m):
     from barloom.operators.blocks import carry_last
     d = labelled(m).filter("outcome is not null")
     d = carry_last(d, {"_p": c("bar_idx")}, keys=("symbol", "family", "side"), strict=True).withColumn("gap", c("bar_idx") - c("_p"))
-    return d.groupBy("symbol", "family", "side").agg(F.count(F.lit(1)).alias("events"), F.percentile("gap", 0.5).alias("median_gap"), F.percentile("gap", 0.9).alias("p90_gap"),
-                                                     F.percentile("bars_held", 0.5).alias("median_hold"))
+    return d.groupBy("symbol", "family", "side").agg(F.count(F.lit(1)).alias("events")).join(
+        quantiles(d, ["symbol", "family", "side"], {"median_gap": (c("gap"), 0.5), "p90_gap": (c("gap"), 0.9), "median_hold": (c("bars_held"), 0.5)}), ["symbol", "family", "side"], "left")
 
 
 # ---- trades -----------------------------------------------------------------------------------------------------------------
