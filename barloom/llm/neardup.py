@@ -6,9 +6,10 @@ indexed once for each choice of slots that may be wrong, so all pairs under the
 quarter of the slots on average; the threshold lies 4.6 standard deviations above.
 
 Only components matter, so equal sets are one class, and a bucket is first resolved against its least member (at most one confirmed pair a
-document). Buckets that then still hold several components are searched in full, in blocks of bounded size: every pair across components and under
-the threshold is compared on whole sets, in the first bucket that it shares. A block hands on links alone, never candidates; texts come only
-to blocks that have such a pair for them.
+document). Buckets that then still hold several components are dealt to blocks of bounded size, and each block is searched on its own; what that
+joins is contracted before the blocks of a larger bucket meet each other. Every pair across components and under the threshold is compared on
+whole sets, in the first bucket that it shares, unless links found before already join it. A block hands on only links that join something, fewer
+than it has members; texts come only to blocks that have a pair for them.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest, sig = [None] * len(sets), [None] * len(sets)
             for i, row in zip(full, signatures([sets[i] for i in full])):
                 digest[i], sig[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-                                             names=["id", "doc", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), part.column(3)],
+                                             names=["id", "doc", "n", "digest", "sig", "check"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +144,28 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(has)).select(["block", "id", "comp", "side", "inner", "nth", "sig"])
 
 
+class Forest(dict):
+    """Disjoint sets of components; a missing entry is its own root."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) within blocks, one for each document and component at most; whole sets are compared."""
+    """Links (a, b) within blocks that join components still apart in this task; whole sets are compared."""
+    forest = Forest()
     for b in _groups(batches):
-        ids, comp = b.column("id").to_numpy(), b.column("comp").to_numpy()
-        texts, sets, out = b.column("text").to_pylist(), {}, set()
+        ids, comp = b.column("id").to_numpy(), b.column("comp").to_numpy().tolist()
+        texts, sets, out = b.column("text").to_pylist(), {}, []
 
         def whole(i: int) -> np.ndarray:
             if ids[i] not in sets:
@@ -159,15 +177,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = x[order], y[order]
             edges = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)] if len(y) else [0]
             for s, e in zip(edges[:-1], edges[1:]):
-                mine, others = whole(y[s]), [whole(i) for i in x[s:e]]
-                sizes = np.array([len(o) for o in others])
-                every = np.concatenate(others)
-                both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every, np.concatenate([[0], np.cumsum(sizes[:-1])]))
-                good = 100 * both >= SIMILARITY * (sizes + len(mine) - both)
-                reached = {}
-                for i in x[s:e][good].tolist():
-                    reached.setdefault(comp[i], i)
-                out.update((int(ids[i]), int(ids[y[s]])) for i in reached.values())
+                me, left, some = int(y[s]), x[s:e].tolist(), 1
+                while left := [i for i in left if forest.root(comp[i]) != forest.root(comp[me])]:
+                    now, left, some = left[:some], left[some:], 32  # one match often settles the rest
+                    mine, others = whole(me), [whole(i) for i in now]
+                    sizes = np.array([len(o) for o in others])
+                    every = np.concatenate(others)
+                    both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every, np.concatenate([[0], np.cumsum(sizes[:-1])]))
+                    good = 100 * both >= SIMILARITY * (sizes + len(mine) - both)
+                    out += [(int(ids[i]), int(ids[me])) for i, g in zip(now, good) if g and forest.join(comp[i], comp[me])]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
@@ -203,6 +221,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return shelved(rows.mapInArrow(_confirm, "a long, b long"), "links")
 
 
+def _own_blocks(members: DataFrame) -> DataFrame:
+    """Members (key, id, nth, comp, n: size of the bucket) dealt to the blocks of their bucket; each block is searched on its own."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    return members.select(F.xxhash64("key", part).alias("block"), "id", "comp", F.lit(1).alias("side"), "nth", F.lit(True).alias("inner"))
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Members (key, id, nth, comp) of buckets with several components, dealt to blocks. The bucket's commonest component is its main side.
 
@@ -230,24 +254,62 @@ def _labelled(d: DataFrame, labels: DataFrame | None, col: str, out: str) -> Dat
 
 
 def row_id(key: str = "doc_id", text: str = "text") -> Column:
-    """Identity of a row by its key and text; null for a null key."""
+    """First half of a row's identity, by its key and text; null for a null key."""
     doc = F.col(key).cast("long")
     return F.when(doc.isNotNull(), F.xxhash64(doc, F.col(text).cast("string")))
 
 
+def row_check(key: str = "doc_id", text: str = "text") -> Column:
+    """Second half of a row's identity: rows of equal ``row_id`` and ``row_check`` have equal key and text, to 128 bits."""
+    return F.xxhash64(F.lit(7), F.col(text).cast("string"), F.col(key).cast("long"))
+
+
+def _apart(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """New ids for rows whose id stands for several rows."""
+    return rows.join(clashes, "id", "left").withColumn("id", F.when(F.col("clash"), F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("clash")
+
+
+def _classes(stands: DataFrame) -> DataFrame:
+    """(id, rep): least id of each set of equal digests. Classes with over a thousandth of all rows, fewer than a thousand, are broadcast."""
+    stands = shelved(stands.select("id", "digest"), "stands")
+    sizes = shelved(stands.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "classes")
+    most = stands.count() // 1000
+    few = F.broadcast(sizes.filter(F.col("n") > most).select("digest", F.col("rep").alias("hot")))
+    known = stands.join(few, "digest", "left")
+    rest = known.filter("hot IS NULL").select("id", "digest").join(sizes.filter(F.col("n") <= most).select("digest", "rep"), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return known.filter("hot IS NOT NULL").select("id", F.col("hot").alias("rep")).unionByName(rest)
+
+
+def _search(units: DataFrame, sig: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` after the pairs within blocks are compared and what they join is contracted."""
+    fields = "block long, id long, comp long, side int, inner boolean, nth short, sig binary"
+    by_block = lambda d: d.repartition("block").sortWithinPartitions("block")
+    needed = by_block(units.join(sig, "id").select("block", "id", "comp", "side", "inner", "nth", "sig")).mapInArrow(_needed, fields)
+    needed = shelved(needed, "needed")
+    found = by_block(needed.join(texts, "id")).mapInArrow(_linked, "a long, b long")
+    joined = _labelled(_labelled(found, labels, "a", "ca"), labels, "b", "cb")
+    more = shelved(components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # components of components
+    fresh = more.join(labels.select("node"), "node", "left_anti")
+    return shelved(_labelled(labels, more, "component", "least").select("node", F.col("least").alias("component")).unionByName(fresh), "components")
+
+
 def row_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, doc, n, group) for every row: ``row_id``, key, shingles, and the least row that its text is linked with, over any number of links."""
-    src = docs.select(row_id(key, text).alias("id"), F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    base = shelved(src.mapInArrow(_sign, "id long, doc long, n long, digest binary, sig binary"), "signatures")
+    """(row, check, id, doc, n, group) for every row: its identity, the id it has here, key, shingles, and the least id that its text is linked
+    with, over any number of links."""
+    src = docs.select(row_id(key, text).alias("id"), row_check(key, text).alias("check"), F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    base = src.select("id", "doc", "text", "check").mapInArrow(_sign, "id long, doc long, n long, digest binary, sig binary, check long")
+    base = shelved(base.withColumn("row", F.col("id")), "signatures")
+    clashes = base.filter("id IS NOT NULL").groupBy("id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo < hi").select("id", F.lit(True).alias("clash"))
+    if not clashes.isEmpty():
+        clashes = shelved(clashes, "clashes")
+        src, base = _apart(src, clashes), shelved(_apart(base, clashes), "signatures")
     nodes = base.filter("n > 0 AND id IS NOT NULL")
-    stands = nodes.groupBy("id").agg(F.min("digest").alias("digest"))
-    classes = stands.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = shelved(stands.join(classes, "digest").select("id", "rep"), "classes")
+    member = shelved(_classes(nodes.groupBy("id").agg(F.min("digest").alias("digest"))), "members")
     reps = member.filter("id = rep").select("id")
     signed = shelved(nodes.join(reps, "id").select("id", "sig").dropDuplicates(["id"]), "representatives")
 
     keys = signed.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")  # an id has a key once
+    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader", "n")  # an id has a key once
     buckets = shelved(keys.join(shared, "key"), "buckets")
     near = buckets.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     first = near.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
@@ -255,25 +317,23 @@ def row_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = first.join(sig, "id").join(sig.select(F.col("id").alias("leader"), F.col("sig").alias("sig_l")), "leader")
     first = first.filter(_far("sig", "sig_l") <= THRESHOLD).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     suspects = buckets.select("id").distinct()
-    texts = shelved(src.join(suspects, "id").select("id", "text"), "texts")  # of representatives that share a key; both rounds read them
+    texts = shelved(src.join(suspects, "id").select("id", "text"), "texts")  # of representatives that share a key; all rounds read them
     links = confirmed(first, texts)
     labels = shelved(components(links), "components")
 
-    open_ = _labelled(buckets.select("key", "id", F.col("key").bitwiseAND(int(NTH)).cast("short").alias("nth")), labels, "id", "comp")
-    several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    units = _blocks(shelved(open_.join(several, "key"), "open")).join(sig, "id")
-    fields = "block long, id long, comp long, side int, inner boolean, nth short, sig binary"
-    by_block = lambda d: d.repartition("block").sortWithinPartitions("block")
-    needed = by_block(units.select("block", "id", "comp", "side", "inner", "nth", "sig")).mapInArrow(_needed, fields)
-    needed = shelved(needed, "needed")
-    found = by_block(needed.join(texts, "id")).mapInArrow(_linked, "a long, b long")
-    joined = _labelled(_labelled(found, labels, "a", "ca"), labels, "b", "cb")
-    more = shelved(components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "merged")  # components of components
-    fresh = more.join(labels.select("node"), "node", "left_anti")
-    labels = shelved(_labelled(labels, more, "component", "least").select("node", F.col("least").alias("component")).unionByName(fresh), "components")
+    def open_buckets(labels: DataFrame, least: int) -> DataFrame:
+        """Members of buckets of ``least`` members or more that still hold several components."""
+        open_ = _labelled(buckets.filter(F.col("n") >= least).select("key", "id", "n", F.col("key").bitwiseAND(int(NTH)).cast("short").alias("nth")), labels, "id", "comp")
+        several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        return shelved(open_.join(several, "key"), "open")
+
+    labels = _search(_own_blocks(open_buckets(labels, 2)), sig, texts, labels)
+    across = open_buckets(labels, BLOCK + 1)  # a smaller bucket is one block
+    if not across.isEmpty():
+        labels = _search(_blocks(across), sig, texts, labels)
 
     whole = _labelled(member.select("id", "rep"), labels, "rep", "group").select("id", "group")
-    return shelved(base.select("id", "doc", "n").join(whole, "id", "left").withColumn("group", F.coalesce("group", "id")), "groups")
+    return shelved(base.select("row", "check", "id", "doc", "n").join(whole, "id", "left").withColumn("group", F.coalesce("group", "id")), "groups")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
