@@ -25,18 +25,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least key, then least row identity, of each group of near duplicates. Rows with equal key and text count as one row;
-    rows that repeat a key only are compared like any others."""
+    """The row of least key, then least row identity, of each group of near duplicates. Rows with equal key and text count as one row,
+    of which that with the least other columns stays; rows that repeat a key only are compared like any others."""
     rows = neardup.row_groups(docs).filter("id IS NOT NULL")
     least = rows.groupBy("group").agg(F.min(F.struct("doc", "id")).alias("stays"))
-    gone = shelved(rows.join(least, "group").filter("id <> stays.id").select(F.col("id").alias("__row")).distinct(), "dropped")
-    repeats = rows.groupBy(F.col("id").alias("__row")).count().filter("count > 1").select("__row")
+    who = [F.col("row").alias("__row"), F.col("check").alias("__check")]
+    gone = shelved(rows.join(least, "group").filter("id <> stays.id").select(*who).distinct(), "dropped")
+    repeats = shelved(rows.groupBy(*who).count().filter("count > 1").select("__row", "__check"), "repeated")
     names = docs.columns
-    left = docs.withColumn("__row", neardup.row_id()).join(gone, "__row", "left_anti")
+    left = docs.withColumn("__row", neardup.row_id()).withColumn("__check", neardup.row_check()).join(gone, ["__row", "__check"], "left_anti")
     if repeats.isEmpty():
         return left.select(*names)
-    several = left.join(repeats, "__row", "left_semi").dropDuplicates(["__row"]).select(*names)
-    return left.join(repeats, "__row", "left_anti").select(*names).unionByName(several)
+    whole = F.struct(*(F.col(f"`{c}`") for c in names))
+    several = left.join(repeats, ["__row", "__check"], "left_semi").groupBy("__row", "__check").agg(F.min_by(whole, F.to_json(whole)).alias("__least"))
+    return left.join(repeats, ["__row", "__check"], "left_anti").select(*names).unionByName(several.select(*(F.col(f"__least.`{c}`") for c in names)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
