@@ -251,11 +251,11 @@ def chained(df: DataFrame, fn: Callable, zero: Sequence[float], out_schema: str,
     return given(left.select(*keys, "_blk", F.col("_in").alias("_state"))).applyInPandas(result, schema)
 
 
-def following(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, idx: str, out: str) -> DataFrame:
-    """``points`` with the first position ``idx`` of ``events`` after ``at`` (null: none follows). Both are whole positions."""
+def following(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, idx: str, out: str, span: int = BLOCK_ROWS) -> DataFrame:
+    """``points`` with the first position ``idx`` of ``events`` after ``at`` (null: none follows). Both are whole positions; ``span`` of them make a block."""
     line = (points.withColumns({"_o": -(F.col(at) * 2 + 1), "_ev": F.lit(None).cast("long")})
             .unionByName(events.select(*keys, F.col(idx).cast("long").alias("_ev")).distinct().withColumn("_o", -(F.col("_ev") * 2)), allowMissingColumns=True))
-    known = carry_last(line.filter(F.col("_o").isNotNull()), {out: F.col("_ev")}, keys, "_o").filter("_ev IS NULL").drop("_o", "_ev")
+    known = carry_last(line.filter(F.col("_o").isNotNull()), {out: F.col("_ev")}, keys, "_o", 2 * span).filter("_ev IS NULL").drop("_o", "_ev")
     return known.unionByName(points.filter(F.col(at).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 

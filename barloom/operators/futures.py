@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.blocks import following
+from barloom.store import saved
 from barloom.functions import clock
 from barloom.functions.cols import c, flag
 
@@ -22,7 +24,9 @@ def leaders(sessions: DataFrame) -> DataFrame:
     """
     top = sessions.groupBy("symbol", "session_close").agg(F.max("metric").alias("top"))
     tied = sessions.join(top, ["symbol", "session_close"]).filter("metric = top").groupBy("symbol", "session_close", "top").agg(F.array_sort(F.collect_list("contract_id")).alias("ids"))
-    seq = tied.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("session_close", "top", "ids"))).alias("s"))
+    # a session with one leader starts a run; only the ties that follow it depend on it, so a run is what is folded
+    run = F.sum(flag(F.size("ids") == 1)).over(Window.partitionBy("symbol").orderBy("session_close"))  # one row a trading day
+    seq = tied.withColumn("_run", run).groupBy("symbol", "_run").agg(F.array_sort(F.collect_list(F.struct("session_close", "top", "ids"))).alias("s"))
     out_t = "array<struct<session_close:timestamp,top:double,winner:string>>"
     zero = F.struct(F.lit(None).cast("string").alias("prev"), F.array().cast(out_t).alias("out"))
 
@@ -58,12 +62,11 @@ def roll_events(cbars: DataFrame, schedule: DataFrame) -> DataFrame:
     a = px.withColumnRenamed("contract_id", "from_contract").withColumnRenamed("close", "from_price")
     b = px.withColumnRenamed("contract_id", "to_contract").withColumnRenamed("close", "to_price")
     shared = a.join(rolls.select(*pair).distinct(), ["symbol", "from_contract"]).join(b, ["symbol", "ts", "to_contract"])  # only pairs that roll into each other
-    # rolls and shared bars on one time line per pair; a roll looks ahead to the first shared bar at or after it
-    line = (shared.select(*pair, "ts", F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("session_close"), F.struct("ts", "from_price", "to_price").alias("p"))
-            .unionByName(rolls.select(*pair, c("effective_from").alias("ts"), F.lit(0).alias("kind"), "session_close"), allowMissingColumns=True))
-    ahead = Window.partitionBy(*pair).orderBy("ts", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    first = line.withColumn("f", F.first("p", True).over(ahead)).filter("kind = 0 AND f IS NOT NULL")
-    d = first.select("symbol", "session_close", c("ts").alias("effective_from"), "from_contract", "to_contract", c("f.ts").alias("spread_ts"), (c("f.to_price") - c("f.from_price")).alias("roll_spread"))
+    # a roll looks ahead to the first shared bar at or after it: block scans over the reversed time line
+    shared = saved(shared.withColumn("at", F.unix_timestamp("ts")), "shared-bars")
+    asked = rolls.withColumn("_before", F.unix_timestamp("effective_from") - 1)
+    first = following(asked, shared, pair, "_before", "at", "_at", 4096 * 3600).drop("_before").join(shared.withColumnRenamed("at", "_at"), [*pair, "_at"])
+    d = first.select("symbol", "session_close", "effective_from", "from_contract", "to_contract", c("ts").alias("spread_ts"), (c("to_price") - c("from_price")).alias("roll_spread"))
     return d.withColumn("cumulative_spread", F.sum("roll_spread").over(span.rowsBetween(Window.unboundedPreceding, 0)))
 
 

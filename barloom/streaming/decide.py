@@ -36,17 +36,19 @@ def decision_stream(m, signals: DataFrame, cooldown: int) -> DataFrame:
     return run_to_table(out, "decisions")
 
 
-def settle_stream(m, events: DataFrame, bars: DataFrame, later: int) -> DataFrame:
+def settle_stream(m, events: DataFrame, bars: DataFrame, later: int, within: str = "90 days") -> DataFrame:
     """Stream-stream join: an open event is closed by the ``later``-th bar after it, whichever side arrives first.
 
-    Both sides wait in state under the bar position they need, so the order of files and micro-batches does not matter.
+    Both sides wait in state under the bar position they need, so files may come in any order within the watermark of ``within``. The closing bar lies
+    at most ``within`` after its event; what can no longer match is dropped from state.
     """
     spark, sources = events.sparkSession, []
     for name, rows in (("open-events", events), ("later-bars", bars)):
         src = scratch(spark, name)
         rows.write.parquet(src)
         sources.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(src))
-    opened = sources[0].withColumn("settle_idx", F.col("bar_idx") + later).withColumnRenamed("close", "entry").drop("ts")
-    closing = sources[1].select("symbol", F.col("bar_idx").alias("settle_idx"), "close")
-    out = opened.join(closing, ["symbol", "settle_idx"]).select("symbol", "bar_idx", "side", "settle_idx", ((F.col("close") - F.col("entry")) * F.col("side")).alias("move"))
+    opened = sources[0].withWatermark("ts", within).withColumn("settle_idx", F.col("bar_idx") + later).withColumnRenamed("close", "entry")
+    closing = sources[1].select(F.col("symbol").alias("s"), F.col("bar_idx").alias("at"), F.col("ts").alias("close_ts"), "close").withWatermark("close_ts", within)
+    near = F.expr(f"symbol = s AND settle_idx = at AND close_ts > ts AND close_ts <= ts + INTERVAL {within}")
+    out = opened.join(closing, near).select("symbol", "bar_idx", "side", "settle_idx", ((F.col("close") - F.col("entry")) * F.col("side")).alias("move"))
     return run_to_table(out, "settled")
