@@ -100,10 +100,11 @@ def profile_levels(hist: DataFrame, keys: list[str], area: float = 0.7, k: float
     before = F.coalesce(F.lag("_cum").over(order), F.lit(0.0))
     d = d.withColumn("_in", (c("_rk") == 1) | (c("_cum") <= area * c("_tot") + 1e-9) | ((before < area * c("_tot") - 1e-9) & (c("_cum") > area * c("_tot"))))
     dev = c("price") - c("_mu")
+    high_node, low_node = F.round(c("volume") - c("_m") - k * c("_s"), 9) >= 0, F.round(c("volume") - c("_m") + k * c("_s"), 9) <= 0  # equal volumes do not depend on the order of sums
     g = d.groupBy(*keys).agg(
         F.max_by("price", F.struct(F.round("volume", 9), -c("price"))).alias("poc"), F.max(F.when(c("_in"), c("price"))).alias("vah"), F.min(F.when(c("_in"), c("price"))).alias("val"),
-        F.sum("volume").alias("total_volume"), F.sum(flag(c("volume") >= c("_m") + k * c("_s"))).alias("hvn_count"), F.sum(flag(c("volume") <= c("_m") - k * c("_s"))).alias("lvn_count"),
-        F.array_sort(F.collect_list(F.when(c("volume") >= c("_m") + k * c("_s"), c("price")))).alias("hvn"), F.array_sort(F.collect_list(F.when(c("volume") <= c("_m") - k * c("_s"), c("price")))).alias("lvn"),
+        F.sum("volume").alias("total_volume"), F.sum(flag(high_node)).alias("hvn_count"), F.sum(flag(low_node)).alias("lvn_count"),
+        F.array_sort(F.collect_list(F.when(high_node, c("price")))).alias("hvn"), F.array_sort(F.collect_list(F.when(low_node, c("price")))).alias("lvn"),
         (F.sum(c("volume") * dev * dev) / F.sum("volume")).alias("_v"), (F.sum(c("volume") * dev * dev * dev) / F.sum("volume")).alias("_q"),
         (F.sum(F.when(c("price") >= c("_hi") - 0.25 * (c("_hi") - c("_lo")), c("volume")).otherwise(0.0)) / F.sum("volume")).alias("top_share"),
         (F.sum(F.when(c("price") <= c("_lo") + 0.25 * (c("_hi") - c("_lo")), c("volume")).otherwise(0.0)) / F.sum("volume")).alias("bottom_share"),

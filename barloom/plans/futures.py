@@ -113,7 +113,7 @@ def _(m):
 
 _PV = "PARTITION BY symbol, day ORDER BY round(volume, 9) DESC, price"
 shared("prof", f"""SELECT *, CASE WHEN bottom_share > 0.35 AND skew > 0.5 THEN 'P' WHEN top_share > 0.35 AND skew < -0.5 THEN 'b' ELSE 'D' END AS shape FROM (SELECT symbol, day, arg_max(price, (round(volume, 9), -price)) AS poc, max(price) FILTER (inn) AS vah, min(price) FILTER (inn) AS val,
- sum(volume) AS total_volume, count(*) FILTER (volume >= m + 0.5 * s) AS hvn_count, count(*) FILTER (volume <= m - 0.5 * s) AS lvn_count, sum(volume) FILTER (price >= hi - 0.25 * (hi - lo)) / sum(volume) AS top_share,
+ sum(volume) AS total_volume, count(*) FILTER (round(volume - m - 0.5 * s, 9) >= 0) AS hvn_count, count(*) FILTER (round(volume - m + 0.5 * s, 9) <= 0) AS lvn_count, sum(volume) FILTER (price >= hi - 0.25 * (hi - lo)) / sum(volume) AS top_share,
  sum(volume) FILTER (price <= lo + 0.25 * (hi - lo)) / sum(volume) AS bottom_share, max(volume) / sum(volume) AS poc_share,
  CASE WHEN sum(volume * (price - mu) ^ 2) / sum(volume) > 1e-12 THEN (sum(volume * (price - mu) ^ 3) / sum(volume)) / (sum(volume * (price - mu) ^ 2) / sum(volume)) ^ 1.5 ELSE 0 END AS skew FROM (
  SELECT *, rk = 1 OR cum <= 0.7 * tot + 1e-9 OR (coalesce(lag(cum) OVER ({_PV}), 0) < 0.7 * tot - 1e-9 AND cum > 0.7 * tot) AS inn FROM (SELECT *, sum(volume) OVER (p) AS tot, sum(volume) OVER ({_PV} ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER ({_PV}) AS rk,
