@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import c, flag
-from barloom.operators.blocks import positions, running
+from barloom.operators.blocks import carry_last, chained, positions, running
+from barloom.store import saved
 
 
 def summary(trades: DataFrame, by=()) -> DataFrame:
@@ -96,3 +97,50 @@ def best_threshold(grid: DataFrame, keys: list[str], min_emitted: int = 1) -> Da
     g = g.withColumn("score", 0.6 * c("fbeta") + 0.4 * F.when(hi > lo, (c("expectancy") - lo) / (hi - lo)).otherwise(0.0))
     pick = F.max_by(F.struct("threshold", "score", "emitted", "hits"), F.struct(F.round("score", 9), "hits", -c("threshold")))
     return g.groupBy(*keys).agg(pick.alias("b")).select(*keys, "b.*")
+
+
+def positive_zones(scored: DataFrame, keys: tuple[str, ...], label: str = "target", idx: str = "bar_idx") -> DataFrame:
+    """(keys, zone, start, end): runs of neighbouring positions whose label is 1, numbered from 1 in order."""
+    on = carry_last(scored.filter(c(label) == 1).select(*keys, idx), {"_p": c(idx)}, keys=keys, order=idx, strict=True)
+    on = running(on, sums={"zone": flag(c("_p").isNull() | (c(idx) != c("_p") + 1))}, keys=keys, order=idx)
+    return on.groupBy(*keys, "zone").agg(F.min(idx).alias("start"), F.max(idx).alias("end"))
+
+
+def _match(p, state):
+    """Each event takes the first free zone it may match; zones before the last one taken are taken or too early for good."""
+    last, out = state[0], []
+    for lo, hi in zip(p["_lo"].tolist(), p["_hi"].tolist()):
+        take = max(lo, last + 1)
+        out.append(int(take <= hi))
+        last = take if out[-1] else last
+    return {"matched": out}, [last]
+
+
+def matched_events(events: DataFrame, zones: DataFrame, keys: tuple[str, ...], tolerance: int, idx: str = "bar_idx") -> DataFrame:
+    """``events`` with matched (1 or 0): one-to-one, in order of position, to zones within ``tolerance`` positions of either end.
+
+    Zones are disjoint and ordered, so what an event may match is a range of zone numbers; the walk only keeps the last zone taken.
+    """
+    def upto(edge, after: int, name: str) -> DataFrame:
+        line = events.select(*keys, idx, (c(idx) * 2 + 1 - after).alias("_o"), F.lit(None).cast("long").alias("_z")).unionByName(
+            zones.select(*keys, F.lit(None).cast("long").alias(idx), (edge * 2 + after).alias("_o"), c("zone").alias("_z")))
+        return carry_last(line, {name: c("_z")}, keys=keys, order="_o").filter(c(idx).isNotNull()).select(*keys, idx, F.coalesce(name, F.lit(0)).alias(name))
+    hi, lo = upto(c("start") - tolerance, 0, "_hi"), upto(c("end") + tolerance, 1, "_past")
+    d = events.select(*keys, idx).join(hi, [*keys, idx]).join(lo, [*keys, idx]).withColumn("_lo", c("_past") + 1)
+    return chained(d, _match, [0.0], "matched int", ["_lo", "_hi"], idx=idx, keys=keys)
+
+
+def event_metrics(scored: DataFrame, thresholds: list[float], cooldown_bars: int, tolerance: int, keys: tuple[str, ...] = ("model_id", "symbol"), per: tuple[str, ...] = ("model_id",), beta: float = 0.5) -> DataFrame:
+    """(per, threshold, events, zones, matched, precision, recall, fbeta) of cooled events against positive zones."""
+    from barloom.operators.labels import cooldown
+    at = (*keys, "threshold")
+    every = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    zones = saved(positive_zones(scored, keys).withColumn("threshold", every), "zones")
+    hits = scored.select(*keys, "bar_idx", "probability").withColumn("threshold", every).filter("probability >= threshold")
+    events = saved(cooldown(hits, cooldown_bars, at).filter("accepted = 1").select(*at, "bar_idx"), "cooled")
+    m = matched_events(events, zones, at, tolerance).groupBy(*per, "threshold").agg(F.count(F.lit(1)).alias("events"), F.sum("matched").alias("matched"))
+    z = zones.groupBy(*per, "threshold").agg(F.count(F.lit(1)).alias("zones"))
+    d = scored.select(*per).distinct().withColumn("threshold", every).join(m, [*per, "threshold"], "left").join(z, [*per, "threshold"], "left").na.fill(0, ["events", "matched", "zones"])
+    d = d.withColumns({"precision": F.when(c("events") > 0, c("matched") / F.when(c("events") > 0, c("events"))).otherwise(0.0), "recall": F.when(c("zones") > 0, c("matched") / F.when(c("zones") > 0, c("zones"))).otherwise(0.0)})
+    low = beta * beta * c("precision") + c("recall")
+    return d.withColumn("fbeta", F.when(low > 0, (1 + beta * beta) * c("precision") * c("recall") / F.when(low > 0, low)).otherwise(0.0))
