@@ -13,12 +13,16 @@ groups of bounded size, and hands back one sum a text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,6 +40,10 @@ PIECE = 1 << 16  #: ends merged by one piece
 SHARD_PAIRS = 1 << 17  #: id pairs of one range of the count table
 GROUP_ENTRIES = 1 << 22  #: (text, pair) entries that meet a range in one task
 ODD = 0x9E3779B1  #: multiplier of the pair hash; odd, so it has an inverse
+MOST_PIECES = 200_000  #: pieces that a worker remembers; the cache only spares work
+# Fixed value: the split of byte-level BPE.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+ODDITIES = re.compile(r"[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")  #: beyond printable ASCII and the letters of Latin-1
 RESULT = pa.schema([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())])
 
 
@@ -75,9 +83,22 @@ class ByteLevel(Side):
         for piece, i in vocabulary.items():
             tokens[i] = bytes(shown[c] for c in piece) if all(c in shown for c in piece) else piece.encode()
         super().__init__(tokens)
+        rules = json.loads(raw)
+        split = rules.get("pre_tokenizer") or {}
+        self.by_piece = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.pieces: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        """Ids of each text. Where the file splits by the byte-level pattern, a text of characters that every Unicode version classes alike is split here,
+        and the library encodes each distinct piece once; all other texts go to the library as they are."""
+        plain = [self.by_piece and ODDITIES.search(t) is None for t in texts]
+        rest = iter(self.coder.encode_batch_fast([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        cut = [PIECES(" " + t) if p else None for t, p in zip(texts, plain)]
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        new = list({w for ws in cut if ws for w in ws}.difference(self.pieces))
+        self.pieces.update(zip(new, (e.ids for e in self.coder.encode_batch_fast(new, add_special_tokens=False))))
+        return [list(chain.from_iterable(map(self.pieces.__getitem__, ws))) if ws is not None else next(rest).ids for ws in cut]
 
 
 class Pieces(Side):

@@ -78,6 +78,14 @@ def test_alignment_equals_all_pairs(spark, monkeypatch):
     assert [r.n_a for r in align.aligned_tokens(docs(spark, [(1, ""), (2, None)]), RAW_A, RAW_B).collect()] == [0, 0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab Zé9.'’s\n\t\r\x1c<|>_ \u2003ß×½東"), max_size=40), max_size=4))
+def test_texts_encoded_by_pieces_equal_whole_texts(texts):
+    a = align.side(align.ByteLevel, RAW_A)
+    assert a.by_piece
+    assert a.encode(texts) == [a.coder.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_one_very_long_text_is_cut_into_pieces():
     a, b = align.side(align.ByteLevel, RAW_A), align.side(align.Pieces, RAW_B)
     text = prose(random.Random(3), 40000, 10 ** 6)
