@@ -49,7 +49,7 @@ def _(m):
     return asof(m.bars(), h, "ts", "close_ts", ["atr_4h"])
 
 
-@query("dt09_profile_anchors", KEY + "poc:d5 vah:d5 val:d5 shape:s", "SELECT b.symbol, b.bar_idx, p.poc, p.vah, p.val, p.shape FROM bars b ASOF LEFT JOIN (SELECT *, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY AS at FROM prof) p ON p.symbol = b.symbol AND b.ts >= p.at")
+@query("dt09_profile_anchors", KEY + "poc:d8 vah:d8 val:d8 shape:s", "SELECT b.symbol, b.bar_idx, p.poc, p.vah, p.val, p.shape FROM bars b ASOF LEFT JOIN (SELECT *, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY AS at FROM prof) p ON p.symbol = b.symbol AND b.ts >= p.at")
 def _(m):
     a = prof(m).withColumn("at", F.date_add("day", 1).cast("timestamp"))
     return asof(m.bars(), a, "ts", "at", ["poc", "vah", "val", "shape"])

@@ -106,7 +106,7 @@ def hist(m):
     return m.stage("hist", lambda: fu.profile(m.bars().withColumn("day", F.to_date("ts")), ["symbol", "day"]))
 
 
-@query("ag07_volume_profile", "symbol:s day:s bin:l price:d5 volume:d5", "SELECT * FROM hist")
+@query("ag07_volume_profile", "symbol:s day:s bin:l price:d8 volume:d5", "SELECT * FROM hist")
 def _(m):
     return hist(m)
 
@@ -124,11 +124,11 @@ def prof(m):
     return m.stage("prof", lambda: fu.profile_levels(hist(m), ["symbol", "day"]))
 
 
-for _n, _o in (("ag08_poc", "poc:d5 total_volume:d5"), ("ag09_value_area", "vah:d5 val:d5"), ("ag10_volume_nodes", "hvn_count:l lvn_count:l"), ("ag11_profile_shape", "skew:d4 top_share:d5 bottom_share:d5 poc_share:d5 shape:s")):
+for _n, _o in (("ag08_poc", "poc:d8 total_volume:d5"), ("ag09_value_area", "vah:d8 val:d8"), ("ag10_volume_nodes", "hvn_count:l lvn_count:l"), ("ag11_profile_shape", "skew:d4 top_share:d5 bottom_share:d5 poc_share:d5 shape:s")):
     query(_n, "symbol:s day:s " + _o, "SELECT * FROM prof")(prof)
 
 
-@query("dt10_naked_poc", "symbol:s born:s poc:d5 touched_idx:l", """SELECT p.symbol, p.day AS born, p.poc, min(b.bar_idx) AS touched_idx FROM prof p LEFT JOIN bars b ON b.symbol = p.symbol AND CAST(b.ts AS DATE) > p.day AND p.poc BETWEEN b.low AND b.high GROUP BY 1, 2, 3""")
+@query("dt10_naked_poc", "symbol:s born:s poc:d8 touched_idx:l", """SELECT p.symbol, p.day AS born, p.poc, min(b.bar_idx) AS touched_idx FROM prof p LEFT JOIN bars b ON b.symbol = p.symbol AND CAST(b.ts AS DATE) > p.day AND p.poc BETWEEN b.low AND b.high GROUP BY 1, 2, 3""")
 def _(m):
     return fu.naked_levels(prof(m).select("symbol", c("day").alias("born"), "poc"), m.bars())
 
