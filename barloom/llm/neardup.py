@@ -316,7 +316,7 @@ def row_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sig = signed.select("id", "sig")
     first = first.join(sig, "id").join(sig.select(F.col("id").alias("leader"), F.col("sig").alias("sig_l")), "leader")
     first = first.filter(_far("sig", "sig_l") <= THRESHOLD).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    suspects = buckets.select("id").distinct()
+    suspects = shelved(buckets.select("id").distinct(), "suspects")  # its size is known when the join is planned
     texts = shelved(src.join(suspects, "id").select("id", "text"), "texts")  # of representatives that share a key; all rounds read them
     links = confirmed(first, texts)
     labels = shelved(components(links), "components")
