@@ -186,15 +186,27 @@ def latest_levels(d: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
     return d.withColumns({"bars_since_sweep_high": c("bar_idx") - c("_hi"), "bars_since_sweep_low": c("bar_idx") - c("_lo")}).drop("_hi", "_lo")
 
 
+def pivots(d: DataFrame, w: Frame, n: int = 3) -> DataFrame:
+    """Oscillator at the swings that a bar confirms."""
+    return d.withColumns({"_hr": F.when(w.lag("raw_swing_high", n) == 1, w.lag("rsi_14", n)), "_lr": F.when(w.lag("raw_swing_low", n) == 1, w.lag("rsi_14", n))})
+
+
 def exhaustion(d: DataFrame, size: int = BLOCK_ROWS, n: int = 3) -> DataFrame:
-    """Needs rsi_14, atr_14, volume_relative_20, the prior extremes, confirmed swings and their latest levels."""
+    """Needs rsi_14, atr_14, volume_relative_20, the prior extremes and confirmed swings; adds their latest levels where they are absent.
+
+    All last known values come from one scan of the history; those that count the bar itself are its own value, else the one carried to it.
+    """
     hi_ok, lo_ok = c("swing_high_level").isNotNull() & c("_hr").isNotNull(), c("swing_low_level").isNotNull() & c("_lr").isNotNull()
-    d = blocked(d, lambda r, w: r.withColumns({
-        "_hr": F.when(w.lag("raw_swing_high", n) == 1, w.lag("rsi_14", n)), "_lr": F.when(w.lag("raw_swing_low", n) == 1, w.lag("rsi_14", n))}), before=n, size=size)
-    d = saved(d, "pivots")
-    d = carry_last(d, {"_php": F.when(hi_ok, c("swing_high_level")), "_phr": F.when(hi_ok, c("_hr")), "_plp": F.when(lo_ok, c("swing_low_level")),
-                       "_plr": F.when(lo_ok, c("_lr"))}, size=size, strict=True)
-    d = carry_last(d, {"_atr": c("atr_14")}, size=size)
+    if "_hr" not in d.columns:
+        d = saved(blocked(d, lambda r, w: pivots(r, w, n), before=n, size=size), "pivots")
+    far = {"_php": F.when(hi_ok, c("swing_high_level")), "_phr": F.when(hi_ok, c("_hr")), "_plp": F.when(lo_ok, c("swing_low_level")), "_plr": F.when(lo_ok, c("_lr")), "_atr": c("atr_14")}
+    now = {"_atr": F.coalesce(c("atr_14"), c("_atr"))}
+    if "latest_swing_high" not in d.columns:
+        hi, lo = F.when(c("sweep_high_20") == 1, c("bar_idx")), F.when(c("sweep_low_20") == 1, c("bar_idx"))
+        far |= {"_sh": c("swing_high_level"), "_sl": c("swing_low_level"), "_hi": hi, "_lo": lo}
+        now |= {"latest_swing_high": F.coalesce(c("swing_high_level"), c("_sh")), "latest_swing_low": F.coalesce(c("swing_low_level"), c("_sl")),
+                "bars_since_sweep_high": c("bar_idx") - F.coalesce(hi, c("_hi")), "bars_since_sweep_low": c("bar_idx") - F.coalesce(lo, c("_lo"))}
+    d = carry_last(d, far, size=size, strict=True).withColumns(now)
     d = saved(blocked(d, _exhaustion, before=61, size=size), "exhaustion")
     return ages(d, {"bars_since_bullish_divergence": c("bullish_divergence_event") == 1, "bars_since_bearish_divergence": c("bearish_divergence_event") == 1}, size)
 
@@ -409,11 +421,14 @@ def with_smooth(bars: DataFrame, weeks: int = 26, warmup: int = 2000) -> DataFra
 
 def core(bars: DataFrame, extra=(), size: int = BLOCK_ROWS) -> DataFrame:
     """The core families in one block partitioning, the latest swing levels and sweep ages over the whole history, then any extra families."""
+    ends = bool(extra) and extra[0] is exhaustion  # it scans for the latest levels itself
+
     def build(d, w):
-        for f in CORE:
+        for f in (*CORE, *([pivots] if ends else [])):
             d = f(d, w)
         return d
-    d = latest_levels(saved(blocked(with_smooth(bars), build, before=LOOK, after=3, size=size), "core"), size)
+    d = saved(blocked(with_smooth(bars), build, before=LOOK, after=3, size=size), "core")
+    d = d if ends else latest_levels(d, size)
     for f in extra:
         d = f(d, size)
     return d
