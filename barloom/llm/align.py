@@ -17,7 +17,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -66,9 +65,13 @@ class Side:
             raise ValueError("a token without bytes")
         self.printed = np.array([f"{i}{mark}" for mark in ",|;" for i in range(len(tokens))], dtype=object)
 
-    def joined(self, ids: list[int]) -> bytes:
+    def joined(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def gives(self, ids: np.ndarray, known: bool, whole: bytes) -> bool:
+        """Whether the bytes of the tokens are the whole text."""
+        return known or (int(self.lengths[ids].sum()) == len(whole) and self.joined(ids.tolist()) == whole)
+
 
 class ByteLevel(Side):
     """A byte-level BPE of the tokenizers library; gets space + text."""
@@ -86,19 +89,27 @@ class ByteLevel(Side):
         rules = json.loads(raw)
         split = rules.get("pre_tokenizer") or {}
         self.by_piece = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # packed ids
+        self.changed: set[str] = set()  # pieces whose tokens do not give their bytes
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """Ids of each text, and whether their bytes are known to be space + text.
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Where the file splits by the byte-level pattern, a text of characters that every Unicode version classes alike is split here,
-        and the library encodes each distinct piece once; all other texts go to the library as they are."""
+        Where the file splits by the byte-level pattern, a text of characters that every Unicode version classes alike is split here, and the library
+        encodes each distinct piece once; all other texts go to the library as they are.
+        """
         plain = [self.by_piece and ODDITIES.search(t) is None for t in texts]
         rest = iter(self.coder.encode_batch_fast([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         cut = [PIECES(" " + t) if p else None for t, p in zip(texts, plain)]
         if len(self.pieces) > MOST_PIECES:
             self.pieces.clear()
-        new = list({w for ws in cut if ws for w in ws}.difference(self.pieces))
-        self.pieces.update(zip(new, (e.ids for e in self.coder.encode_batch_fast(new, add_special_tokens=False))))
-        return [list(chain.from_iterable(map(self.pieces.__getitem__, ws))) if ws is not None else next(rest).ids for ws in cut]
+        new = list(set().union(*(ws for ws in cut if ws)).difference(self.pieces))
+        for w, e in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False)):
+            self.pieces[w] = np.array(e.ids, dtype="<i4").tobytes()
+            if self.joined(e.ids) != w.encode():
+                self.changed.add(w)
+        return [(np.frombuffer(b"".join(map(self.pieces.__getitem__, ws)), "<i4").astype(np.int64), self.changed.isdisjoint(ws) if self.changed else True) if ws is not None
+                else (np.array(next(rest).ids, dtype=np.int64), False) for ws in cut]
 
 
 class Pieces(Side):
@@ -109,8 +120,8 @@ class Pieces(Side):
         names = [self.coder.id_to_piece(i) for i in range(self.coder.vocab_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.coder.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.coder.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        return [(np.array(ids, dtype=np.int64), False) for ids in self.coder.encode(texts, num_threads=1)]
 
 
 _sides: dict[str, Side] = {}
@@ -188,10 +199,10 @@ def align_texts(texts: list[str], a: Side, b: Side, piece: int = PIECE) -> tuple
     for at, some in _batches(texts, ENCODE):
         for n, (t, x, y) in enumerate(zip(some, a.encode(some), b.encode(some)), at):
             whole = b" " + t.encode()
-            if t and a.joined(x) == whole and b.joined(y) == whole:
+            if t and a.gives(*x, whole) and b.gives(*y, whole):
                 kept.append(n)
-                ids[0].append(np.array(x, dtype=np.int64))
-                ids[1].append(np.array(y, dtype=np.int64))
+                ids[0].append(x[0])
+                ids[1].append(y[0])
     results = [{"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""} for _ in texts]
     if not kept:
         none = np.zeros(0, dtype="<u4")
