@@ -248,7 +248,7 @@ def _(m):
 def _(m):
     z = m.stage("zoned", lambda: zoned(m).select("symbol", "bar_idx", "in_zone"))
     on = carry_last(z.filter("in_zone = 1"), {"_p": c("bar_idx")}, strict=True)
-    n = on.agg(F.sum(flag(c("_p").isNull() | (c("bar_idx") - c("_p") > 1))).alias("zones"))
+    n = on.agg(F.coalesce(F.sum(flag(c("_p").isNull() | (c("bar_idx") - c("_p") > 1))), F.lit(0)).alias("zones"))
     g = predictions(m).filter("probability >= 0.7").join(z, ["symbol", "bar_idx"]).groupBy("model_id").agg(F.count(F.lit(1)).alias("events"), F.sum("in_zone").alias("hits"))
     return g.join(F.broadcast(n))
 
