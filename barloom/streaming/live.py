@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,22 @@ from barloom.sources.files import scratch
 BEATS = "symbol string, status string, at_ts timestamp, last_beat timestamp"
 
 
+def stretches(chunks, gap: int) -> list[list[int]]:
+    """[first, last] of every stretch of times without a gap of more than ``gap``, whatever order and chunks they come in.
+
+    Between two chunks only stretches are held: at most one per ``gap`` of the time that they span, however many times there are.
+    """
+    found = np.zeros((0, 2), dtype=np.int64)
+    for t in chunks:
+        found = np.concatenate([found, np.stack([t, t], axis=1)])
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        ends = np.maximum.accumulate(found[:, 1])
+        cut = np.flatnonzero(found[1:, 0] - ends[:-1] > gap)
+        if len(found):
+            found = np.stack([found[np.append(0, cut + 1), 0], ends[np.append(cut, len(found) - 1)]], axis=1)
+    return found.tolist()
+
+
 def heartbeats(beats: DataFrame, stale_after: int, live: bool = False) -> DataFrame:
     """One row when a feed goes stale (no beat for ``stale_after`` seconds) and one when it recovers. ``beats``: stream of (symbol, ts).
 
@@ -29,14 +46,14 @@ def heartbeats(beats: DataFrame, stale_after: int, live: bool = False) -> DataFr
                 out.append(("stale", last + stale_after * 1_000_000, last))
             stale = True
         else:
-            for b in batches:  # beats of a batch may come in any order: only their sorted times are held
-                for t in (b["ts"].astype("datetime64[us]").astype("int64").sort_values().tolist() if len(b) else []):
-                    if last is not None and t - last > stale_after * 1_000_000:
-                        if not stale:
-                            out.append(("stale", last + stale_after * 1_000_000, last))
-                        out.append(("recovered", t, last))
-                    stale = False
-                    last = t if last is None else max(last, t)
+            # a key's beats may come in any order and in several pieces, so a gap counts only when all pieces are seen
+            times = (b["ts"].astype("datetime64[us]").astype("int64").to_numpy() for b in batches if len(b))
+            for first, end in stretches((t if last is None else t[t > last] for t in times), stale_after * 1_000_000):
+                if last is not None and first - last > stale_after * 1_000_000:
+                    if not stale:
+                        out.append(("stale", last + stale_after * 1_000_000, last))
+                    out.append(("recovered", first, last))
+                stale, last = False, end
         due = last // 1000 + stale_after * 1000 + 1
         if not live and not stale and due <= state.getCurrentWatermarkMs():
             out.append(("stale", last + stale_after * 1_000_000, last))

@@ -1,9 +1,29 @@
-"""Cases that only larger tables showed: tables without any zone."""
+"""Cases that only larger tables showed: groups in several pieces, and tables without any zone."""
+
+import datetime as dt
 
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from barloom.sources.files import scratch
+from barloom.streaming import live
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def test_beats_of_a_batch_in_several_pieces_show_no_false_gaps(spark):
+    schema = "symbol string, ts timestamp"
+    rows = [("a", T0 + dt.timedelta(seconds=50 * (i * 7 % 20))) for i in range(20)] + [("b", T0 + dt.timedelta(seconds=s)) for s in (200, 0, 210, 10, 220, 20)]
+    feed, out = live.Feed(spark, spark.createDataFrame([], schema).schema, "t-pieces"), scratch(spark, "t-pieces-out")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        feed.push(spark.createDataFrame(rows, schema), lambda s: live.into_table(live.heartbeats(s.withWatermark("ts", "2000 seconds"), 60), out, feed.checkpoint))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((r.symbol, r.status, int((r.at_ts - T0).total_seconds()), int((r.last_beat - T0).total_seconds())) for r in spark.read.schema(live.BEATS).parquet(out).collect())
+    assert got == [("b", "recovered", 200, 20), ("b", "stale", 80, 20)]
+
 
 def test_event_metrics_of_a_table_without_zones(spark, tmp_path):
     ticks = spark.range(200).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"),
