@@ -86,7 +86,8 @@ def profile(bars: DataFrame, keys: list[str], tick: float = 0.25, divisor: float
     part = F.greatest(F.least("high", (c("bin") + 1) * c("bin_width")) - F.greatest("low", c("bin") * c("bin_width")), F.lit(0.0))
     rng = c("high") - c("low")
     vol = F.when(rng > 0, c("volume") * part / F.when(rng > 0, rng)).otherwise(c("volume"))
-    h = d.groupBy(*keys, "bin", "bin_width").agg(F.sum(vol).alias("volume"))
+    # decimals add up the same in any order, so bins of equal volume stay equal at large volumes
+    h = d.groupBy(*keys, "bin", "bin_width").agg(F.sum(vol.cast("decimal(38,18)")).cast("double").alias("volume"))
     return h.filter(c("volume") > 1e-12).withColumn("price", c("bin") * c("bin_width"))
 
 

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from barloom.operators import futures as fu
 from barloom.sources.files import scratch
 from barloom.streaming import live
 
@@ -34,3 +35,9 @@ def test_event_metrics_of_a_table_without_zones(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["ag28_event_metrics"]).fetchall()
     got = [tuple(r) for r in entry.queries()["ag28_event_metrics"](spark, str(tmp_path)).collect()]
     assert len(want) == 2 and all(w[2] == 0 for w in want) and sorted(got) == sorted(want)
+
+
+def test_profile_volumes_do_not_depend_on_the_order_of_bars(spark):
+    rows = [("x", T0 + dt.timedelta(hours=i), p, p, p, v) for i, (p, v) in enumerate([(10.0, 0.1)] * 10 + [(20.0, 1.0)])]  # ten tenths added as doubles fall short of 1
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, high double, low double, close double, volume double")
+    assert [r.volume for r in fu.profile(bars, ["symbol"]).orderBy("bin").collect()] == [1.0, 1.0]
