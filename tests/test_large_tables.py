@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from barloom.llm import neardup
 from barloom.operators import futures as fu
 from barloom.sources.files import scratch
 from barloom.streaming import live
@@ -41,3 +42,10 @@ def test_profile_volumes_do_not_depend_on_the_order_of_bars(spark):
     rows = [("x", T0 + dt.timedelta(hours=i), p, p, p, v) for i, (p, v) in enumerate([(10.0, 0.1)] * 10 + [(20.0, 1.0)])]  # ten tenths added as doubles fall short of 1
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp, high double, low double, close double, volume double")
     assert [r.volume for r in fu.profile(bars, ["symbol"]).orderBy("bin").collect()] == [1.0, 1.0]
+
+
+def test_bitmap_keeps_all_asked_rows_and_few_others(spark):
+    ids = spark.range(0, 20000, 10)
+    got = neardup._likely(spark.range(20000).withColumn("text", F.lit("x")), ids)
+    assert got.columns == ["id", "text"] and ids.join(got, "id", "left_anti").isEmpty() and got.count() < 4000
+    assert neardup._likely(spark.range(5).withColumn("text", F.lit("x")), ids.filter("id < 0")).isEmpty()
