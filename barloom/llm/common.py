@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.store import checkpoint_root
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BITMAP = 1 << 24  #: most bits of the bitmap that is sent to all tasks
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -38,3 +39,24 @@ def parts_for(rows: int, rows_per_part: int, least: int = 1) -> int:
 def salted(key: Column | str, rows: int, rows_per_part: int) -> Column:
     """Part number of a row by the hash of a near-unique key."""
     return F.pmod(F.xxhash64(key), F.lit(parts_for(rows, rows_per_part))).cast("int")
+
+
+def _marked(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` beside ``__marks`` and ``__bit``, by a broadcast bitmap of hashes: bit ``__bit`` of ``__marks`` is set for every ``key`` in ``ids``, and for few others
+    up to a sixteenth of ``BITMAP`` ids, more above."""
+    bits = min(BITMAP, 1 << (16 * ids.count() + 64).bit_length())
+    at = F.pmod(F.xxhash64(F.lit(11), key), F.lit(bits))
+    marked = ids.select(F.floor(at / 64).alias("__word"), F.pmod(at, F.lit(64)).cast("int").alias("bit")).selectExpr("__word", "shiftleft(1L, bit) AS mark")
+    words = marked.groupBy("__word").agg(F.bit_or("mark").alias("__marks"))
+    return rows.withColumns({"__word": F.floor(at / 64), "__bit": F.pmod(at, F.lit(64)).cast("int")}).join(F.broadcast(words), "__word", how)
+
+
+def likely(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``ids``; none of ``ids`` is lost. A join that follows moves less."""
+    return _marked(rows, ids, key, "inner").filter(F.expr("shiftright(__marks, __bit) & 1 = 1")).select(*rows.columns)
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``likely`` rows, and all others: their ``key`` is certainly not in ``ids``, so that they can stay where they are."""
+    others = _marked(rows, ids, key, "left").filter(F.expr("coalesce(shiftright(__marks, __bit) & 1, 0) = 0"))
+    return likely(rows, ids, key), others.select(*rows.columns)

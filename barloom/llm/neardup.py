@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import likely as _likely
 from barloom.llm.common import shelved
 from barloom.llm.graph import components
 from barloom.llm.shingles import MIX, finish, shingle_set
@@ -35,7 +36,6 @@ NTH = np.uint64(63)  #: low bits of a key: which of a signature's keys it is
 BLOCK = 512  #: members of a block
 PIVOT = 500  #: documents compared with one copy of a pivot
 STEP = 1 << 15  #: hashes permuted at a time
-BITMAP = 1 << 24  #: most bits of the bitmap that is sent to all tasks
 
 _rng = np.random.default_rng(20240229)
 ODD = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -281,16 +281,6 @@ def _classes(stands: DataFrame) -> DataFrame:
     return known.filter("hot IS NOT NULL").select("id", F.col("hot").alias("rep")).unionByName(rest)
 
 
-def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose id is not in ``ids``, by a broadcast bitmap of hashes; none of ``ids`` is lost. A join that follows moves less."""
-    bits = min(BITMAP, 1 << (16 * ids.count() + 64).bit_length())
-    at = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(bits))
-    marked = ids.select(F.floor(at / 64).alias("word"), F.pmod(at, F.lit(64)).cast("int").alias("bit")).selectExpr("word", "shiftleft(1L, bit) AS mark")
-    words = marked.groupBy("word").agg(F.bit_or("mark").alias("marks"))
-    d = rows.withColumns({"word": F.floor(at / 64), "bit": F.pmod(at, F.lit(64)).cast("int")}).join(F.broadcast(words), "word")
-    return d.filter(F.expr("shiftright(marks, bit) & 1 = 1")).select(*rows.columns)
-
-
 def _search(units: DataFrame, sig: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` after the pairs within blocks are compared and what they join is contracted."""
     fields = "block long, id long, comp long, side int, inner boolean, nth short, sig binary"

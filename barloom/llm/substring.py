@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shelved
+from barloom.llm.common import likely, parted, shelved
 from barloom.llm.shingles import WORDS, rolling, split
 
 WINDOW, BLOCK = 35, 18  #: 2 * BLOCK - 1 <= WINDOW
@@ -268,16 +268,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
     """
     names = [f"c{i}" for i in range(len(carry) + 1)]
     src = docs.select(*(F.col(c).alias(n) for c, n in zip((key, *carry), names)), F.col(text).cast("string").alias("text"))
-    # never null, so that both uses below share one shuffle of the texts
+    # never null
     src = src.select(F.concat_ws("/", F.col("c0").cast("string"), F.hex(F.xxhash64("text")), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("string")).alias("key"), "text", *names)
     words = (src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     probes = src.select("key", "text").mapInArrow(_probes(_bits(words, PROBES)), PIECE_SQL)
     anchors = probes.repartition("part").sortWithinPartitions("part").mapInArrow(_anchors, "key string, at binary")
     anchors = shelved(anchors.groupBy("key").agg(F.collect_list("at").alias("anchors")), "anchors")  # at most one list a text, bounded by its length
     windows = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0), lambda s, x: s + F.octet_length(x)))).first()[0] or 0  # 4 bytes an anchor, BLOCK windows each
-    tried = src.join(anchors, "key").select("key", "text", "anchors").mapInArrow(_windows(max(LEAST_BITS, _bits(windows / 4 * BLOCK, WINDOWS))), PIECE_SQL)
+    near = likely(src.select("key", "text"), anchors, "key").join(anchors, "key")  # other texts are not moved
+    tried = near.select("key", "text", "anchors").mapInArrow(_windows(max(LEAST_BITS, _bits(windows / 4 * BLOCK, WINDOWS))), PIECE_SQL)
     starts = tried.repartition("part").sortWithinPartitions("part").mapInArrow(_repeats, "key string, at binary").groupBy("key").agg(F.collect_list("at").alias("starts"))
-    out = src.join(starts, "key", "left").select("key", "text", "starts", *names)
+    starts = shelved(starts, "starts")
+    hit, others = parted(src, starts, "key")
+    none = F.lit(None).cast("array<binary>").alias("starts")
+    out = hit.join(starts, "key", "left").select("key", "text", "starts", *names).unionByName(others.select("key", "text", none, *names))
     fields = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
     out = out.mapInArrow(_kept(len(names)), f"kept string, n_words long, n_removed long, spans array<long>, {fields}")
     return out.select(F.col("c0").alias(key), "kept", "n_words", "n_removed", "spans", *(F.col(n).alias(c) for c, n in zip(carry, names[1:])))

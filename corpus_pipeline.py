@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import neardup, packing, quality, substring, toxicity
-from barloom.llm.common import shelved, table
+from barloom.llm.common import parted, shelved, table
 from barloom.store import checkpoint_root
 
 
@@ -30,15 +30,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = neardup.row_groups(docs).filter("id IS NOT NULL")
     least = rows.groupBy("group").agg(F.min(F.struct("doc", "id")).alias("stays"))
     who = [F.col("row").alias("__row"), F.col("check").alias("__check")]
-    gone = shelved(rows.join(least, "group").filter("id <> stays.id").select(*who).distinct(), "dropped")
-    repeats = shelved(rows.groupBy(*who).count().filter("count > 1").select("__row", "__check"), "repeated")
+    gone = rows.join(least, "group").filter("id <> stays.id").select(*who, F.lit(False).alias("__stays"))
+    repeats = rows.groupBy(*who).count().filter("count > 1").select("__row", "__check", F.lit(True).alias("__stays"))
+    fates = shelved(gone.unionByName(repeats).groupBy("__row", "__check").agg(F.min("__stays").alias("__stays")), "fates")
     names = docs.columns
-    left = docs.withColumn("__row", neardup.row_id()).withColumn("__check", neardup.row_check()).join(gone, ["__row", "__check"], "left_anti")
-    if repeats.isEmpty():
-        return left.select(*names)
+    known = docs.withColumn("__row", neardup.row_id()).withColumn("__check", neardup.row_check())
+    asked, others = parted(known, fates, "__row")  # others stay where they are; Spark would push a left_anti join below this
+    left = asked.join(fates, ["__row", "__check"], "left")
+    single = left.filter("__stays IS NULL").select(*names).unionByName(others.select(*names))
+    if fates.filter("__stays").isEmpty():
+        return single
     whole = F.struct(*(F.col(f"`{c}`") for c in names))
-    several = left.join(repeats, ["__row", "__check"], "left_semi").groupBy("__row", "__check").agg(F.min_by(whole, F.to_json(whole)).alias("__least"))
-    return left.join(repeats, ["__row", "__check"], "left_anti").select(*names).unionByName(several.select(*(F.col(f"__least.`{c}`") for c in names)))
+    several = left.filter("__stays").groupBy("__row", "__check").agg(F.min_by(whole, F.to_json(whole)).alias("__least"))
+    return single.unionByName(several.select(*(F.col(f"__least.`{c}`") for c in names)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
